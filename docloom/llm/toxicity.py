@@ -34,7 +34,7 @@ IDENTITIES = ("women", "men", "muslims", "christians", "jews", "hindus", "immigr
 @dataclass(frozen=True)
 class Toxicity:
     #: Labelled rows that the fit sees at most; they are chosen by a hash of doc_id.
-    sample: int = 20_000
+    sample: int = 10_000
     folds: int = 5
     bits: int = 18
     prefixes: tuple[int, ...] = (4, 6)
@@ -91,36 +91,46 @@ class Model:
     intercept: float
 
 
-def _sparse(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each chosen feature that is present."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    all_ = np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)
-    at = np.minimum(np.searchsorted(chosen, all_), len(chosen) - 1)
-    there = chosen[at] == all_
-    return row[there], at[there]
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row lengths and values of a list column; nulls have length 0."""
+    flat = column.combine_chunks()
+    return flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), flat.flatten().to_numpy()
+
+
+def _sparse(rows: tuple[np.ndarray, np.ndarray], chosen: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each chosen feature that is present; rows are numbered among ``only``."""
+    lengths, values = rows
+    at = np.minimum(np.searchsorted(chosen, values), len(chosen) - 1).astype(np.int32)
+    there = chosen[at] == values
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[there]
+    if only is None:
+        return row, at[there]
+    keep = only[row]
+    return (np.cumsum(only) - 1)[row[keep]], at[there][keep]
 
 
 def fit(rows: pa.Table, p: Toxicity) -> Model:
     """Fit on rows (doc_id, toxic, features, swapped)."""
     rows = rows.sort_by("doc_id")
     y = rows["toxic"].to_numpy().astype(float)
-    own = [np.asarray(x, dtype=np.int32) for x in rows["features"].to_pylist()]
-    other = [None if x is None else np.asarray(x, dtype=np.int32) for x in rows["swapped"].to_pylist()]
     n, prior = len(y), (y.sum() + 0.1) / (len(y) + 1)
     b = float(np.log(prior / (1 - prior)))
     empty = Model(np.zeros(1, dtype=np.int32), np.zeros(1), b)
     if n == 0 or y.min() == y.max():
         return empty
+    own, other = _flat(rows["features"]), _flat(rows["swapped"])
+    named = rows["swapped"].is_valid().to_numpy()
     size = (1 + len(p.prefixes)) << p.bits
-    count = [np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if t == k]), minlength=size) for k in (0, 1)]
+    positive = np.repeat(y == 1, own[0])
+    count = [np.bincount(own[1][positive == k], minlength=size) for k in (False, True)]
     rate = [(c + 0.5) / ((y == k).sum() + 1) for k, c in enumerate(count)]
     gap = np.abs(rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / (y == 0).sum() + rate[1] * (1 - rate[1]) / (y == 1).sum())
     gap[count[0] + count[1] < 3] = 0
     chosen = np.sort(np.argsort(-gap, kind="stable")[: p.features]).astype(np.int32)
 
     row, col = _sparse(own, chosen)
-    pairs = [k for k, x in enumerate(other) if x is not None]
-    was, now = _sparse([own[k] for k in pairs], chosen), _sparse([other[k] for k in pairs], chosen)
+    pairs = int(named.sum())
+    was, now = _sparse(own, chosen, named), _sparse(other, chosen, named)
     apply = lambda w, at, m: np.bincount(at[0], weights=w[at[1]], minlength=m)
     back = lambda r, at: np.bincount(at[1], weights=r[at[0]], minlength=len(chosen))
     w = v = np.zeros(len(chosen))
@@ -136,8 +146,8 @@ def fit(rows: pa.Table, p: Toxicity) -> Model:
         r = 1 / (1 + np.exp(-(apply(v, (row, col), n) + c))) - y
         g = back(r, (row, col)) / n
         if pairs:
-            d = apply(v, was, len(pairs)) - apply(v, now, len(pairs))
-            g += 2 * p.counterfactual / len(pairs) * (back(d, was) - back(d, now))
+            d = apply(v, was, pairs) - apply(v, now, pairs)
+            g += 2 * p.counterfactual / pairs * (back(d, was) - back(d, now))
         nxt = v - step * g
         nxt = np.sign(nxt) * np.maximum(0, np.abs(nxt) - step * p.l1)
         c -= step * 4 * r.mean()
