@@ -36,7 +36,7 @@ def rotate(turns: DataFrame, system_roles: tuple[str, ...] = ("system",)) -> Dat
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     role = F.when(own, "assistant").when(F.coalesce(is_system, F.lit(False)), "system").otherwise("user")
     each = each.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit("<|"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), _clean(F.col("name"))), F.lit("")), F.lit("|>\n"))
+    head = F.concat(F.lit("<|"), F.col("role"), F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), _clean(F.col("name")))).otherwise(""), F.lit("|>\n"))
     each = each.withColumn("segment", F.concat(head, _clean(F.col("text")), F.lit(CLOSE)))
     size = F.length("segment").cast("long")
     start = F.when(F.col("role") == "assistant", F.length(head).cast("long")).otherwise(size)

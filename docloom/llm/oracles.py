@@ -2,4 +2,112 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from docloom.llm.licenses import TEMPLATES
+from docloom.llm.secrets import BASE, MORE, Rule
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _lowered(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}')"
+
+
+def _rule(rank: int, r: Rule) -> str:
+    tested = f"regexp_extract_all(text, {_quoted(r.pattern)}, {r.group})"
+    return f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, stop - size AS start, stop, tested FROM (
+      SELECT doc_id, size, tested, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS stop FROM (
+        SELECT doc_id, unnest(range(len(found))) AS k, unnest(list_transform(found, lambda x: length(x))) AS size,
+          unnest(list_transform(pieces[:len(found)], lambda x: length(x))) AS gap, unnest(list_transform(tested, lambda x: length(x))) AS tested
+        FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(r.pattern)}) AS found, string_split_regex(text, {_quoted(r.pattern)}) AS pieces, {tested} AS tested
+              FROM documents WHERE regexp_matches(text, {_quoted(r.hint or r.pattern)})))) WHERE tested >= {r.least}"""
+
+
+SECRETS = f"""
+WITH s AS ({" UNION ALL ".join(_rule(k, r) for k, r in enumerate(BASE + MORE))}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}), '') AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+_TEMPLATES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())
+_WORDS = r"string_split(trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+LICENSES = f"""
+WITH t AS (SELECT license, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(license, body)),
+tb AS (SELECT DISTINCT license, w[i] AS x, w[i + 1] AS y FROM t, unnest(range(1, len(w))) u(i)),
+tn AS (SELECT *, count(*) OVER (PARTITION BY license) AS b FROM tb),
+units AS (SELECT doc_id, 0 AS line, text AS body FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, k, string_split(text, chr(10))[k] FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(k) WHERE len(string_split(text, chr(10))) > 1),
+uw AS (SELECT doc_id, line, {_WORDS} AS w FROM units),
+ub AS (SELECT DISTINCT doc_id, line, w[i] AS x, w[i + 1] AS y FROM uw, unnest(range(1, len(w))) u(i)),
+un AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS a FROM ub),
+m AS (SELECT doc_id, line, license, 2.0::DOUBLE * count(*) / (a + b) AS dice FROM un JOIN tn USING (x, y) GROUP BY doc_id, line, license, a, b),
+best AS (SELECT * FROM m WHERE dice >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license, line) = 1)
+SELECT d.doc_id, license, round(dice, 6) AS dice, line::BIGINT AS line FROM documents d LEFT JOIN best USING (doc_id)
+"""
+
+MIX = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, source_size * 2::DOUBLE AS ceiling FROM s),
+f AS (SELECT *, ceiling / weight AS fill FROM w),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(ceiling) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+lv AS (SELECT arg_min(level, struct_pack(fill := fill, source := coalesce(source, ''))) AS v FROM l WHERE fill > level),
+t AS (SELECT source, source_size, CASE WHEN v IS NULL OR ceiling <= v * weight THEN ceiling ELSE v * weight END AS target FROM l, lv),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END::BIGINT AS epochs FROM t),
+r AS (SELECT *, round(target - epochs * source_size)::BIGINT AS rest FROM e),
+c AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size, source_size, round(target, 4) AS target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_lowered("text")}, '{_ALNUM}') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_lowered("text")}, '{_ALNUM}') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id::VARCHAR AS item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
+pos AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM dw, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) u(p)),
+hit AS (SELECT doc_id, p, n, item FROM pos JOIN win USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+PERSPECTIVES = """
+WITH t AS (SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker <> 'system'),
+e AS (SELECT t.conv_id, perspective, turn, body, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+  CASE WHEN speaker = perspective OR speaker = 'system' THEN NULL ELSE speaker END AS name FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|' || role || coalesce(' name=' || replace(name, '<|', '< |'), '') || '|>' || chr(10) AS head FROM e),
+g AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM h)
+SELECT conv_id, perspective, turn, role, name, segment, CASE WHEN role = 'assistant' THEN length(head) ELSE length(segment) END AS mask_start, length(segment) AS mask_stop FROM g
+"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_lowered("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(2, len(w)) - 1], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT node, b FROM reach JOIN e ON e.a = seen),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_secrets": SECRETS,
+    "op4_licenses": LICENSES,
+    "op6_source_mix": MIX,
+    "op8_decontamination": DECONTAMINATION,
+    "op9_perspectives": PERSPECTIVES,
+    "op10_near_duplicates": NEAR_DUPLICATES,
+}

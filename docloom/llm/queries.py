@@ -8,17 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, mixing, neardup, tokens, toxicity
+from docloom.llm import audio, chat, decontam, licenses, mixing, neardup, pii, secrets, tokens, toxicity
 from docloom.llm.common import table
 
 TOKENS = tokens.Tokens(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan all documents for secrets, with a new ledger."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    _, found = secrets.scan(docs)
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(F.col("path").alias("doc_id"), *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE], F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' token ids as flat files and read them back."""
     return tokens.read_shards(tokens.write_shards(table(spark, sf_dir, "documents"), TOKENS))
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all documents as sound and compute its features from the stored media."""
+    out = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.size("segments"), F.sha2(F.to_json("segments"), 256), F.sha2("tensors", 256))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest licence of all documents."""
+    return licenses.best_license(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -31,6 +52,15 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.trained(docs))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold all documents against all benchmark items."""
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,15 +68,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Render all conversations from each participant's perspective."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link all near-duplicate documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_token_ids": op2_token_ids,
-    "op5_toxicity": op5_toxicity,
-    "op6_source_mix": op6_source_mix,
-    "op8_decontamination": op8_decontamination,
-    "op10_near_duplicates": op10_near_duplicates,
+    f.__name__: f
+    for f in (op1_secrets, op2_token_ids, op3_audio, op4_licenses, op5_toxicity, op6_source_mix, op7_personal_data, op8_decontamination, op9_perspectives, op10_near_duplicates)
 }
