@@ -177,9 +177,11 @@ def _residual(multi: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFr
     """Confirmed links between nodes that share a key but are in different components so far.
 
     Such a pair has a node that isn't in the component of the key's hub. Sets are
-    ordered by how rare a shingle is among the nodes concerned; two sets with a
-    similarity of s share a shingle among their first n - ceil(s * n) + 1 ones,
-    and their sizes differ by a factor of at most s. Both bounds are exact.
+    ordered by how rare a shingle is among the nodes concerned. Two sets of n and
+    m shingles with a similarity of s have at least a = s / (1 + s) * (n + m) in
+    common, so the first of these is among the first n - a + 1 of the one and
+    m - a + 1 of the other; and n and m differ by a factor of at most s. Both
+    bounds are exact.
     """
     own = lambda df, node, name: df.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     rows = own(own(multi.where("n > 2").join(hubs, "key"), "node", "c"), "hub", "hub_c")
@@ -192,10 +194,11 @@ def _residual(multi: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFr
     kept = words.join(common, "shingle").withColumn("kept", F.count("*").over(Window.partitionBy("node"))).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
     # shingles of one node only come first in the order and match nothing
     prefix = F.col("n") - F.ceil(F.col("n") * p.percent / 100 - F.lit(1e-9)) + 1
-    kept = materialize(kept.where((F.col("n") - F.col("kept")) + F.col("rank") <= prefix).select("shingle", "node", "c", "odd", "n"), "prefixes")
-    a = kept.where("odd").select("shingle", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    b = kept.select("shingle", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny"))
+    kept = materialize(kept.where((F.col("n") - F.col("kept")) + F.col("rank") <= prefix).select("shingle", "node", "c", "odd", "n", (F.col("n") - F.col("kept") + F.col("rank")).alias("at")), "prefixes")
+    a = kept.where("odd").select("shingle", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    b = kept.select("shingle", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    least = F.ceil((F.col("nx") + F.col("ny")) * (p.percent / (100 + p.percent)) - F.lit(1e-9))
+    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= p.percent * F.greatest("nx", "ny")) & (F.col("ax") <= F.col("nx") - least + 1) & (F.col("ay") <= F.col("ny") - least + 1)
     pairs = a.join(b, "shingle").where(fits).select(*_ordered("x", "y")).distinct()
     return _confirmed(pairs, sets, p)
 
