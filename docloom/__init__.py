@@ -1,0 +1 @@
+"""Document intelligence as Spark jobs: split, link, index, rank and maintain a corpus of Markdown."""

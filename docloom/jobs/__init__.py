@@ -1,0 +1 @@
+"""Jobs: the registered queries."""
