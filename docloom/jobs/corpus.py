@@ -117,7 +117,7 @@ p2 AS (SELECT *, CASE WHEN long THEN string_split(regexp_replace(x, '([.!?])\s+'
 p3 AS (SELECT doc_id, pos, k, j, long, run, a[j] AS x, {_TOKENS.format('a[j]')} AS t, row_number() OVER (PARTITION BY doc_id, pos ORDER BY k, j) AS n FROM p2, unnest(range(1, len(a) + 1)) u(j)),
 p4 AS (SELECT doc_id, pos, n, run, t, 1 AS part FROM p3 WHERE n = 1
   UNION ALL SELECT b.doc_id, b.pos, b.n, b.run, CASE WHEN b.run <> a.run OR a.t + b.t > {MOST} THEN b.t ELSE a.t + b.t END, CASE WHEN b.run <> a.run OR a.t + b.t > {MOST} THEN a.part + 1 ELSE a.part END FROM p4 a JOIN p3 b ON b.doc_id = a.doc_id AND b.pos = a.pos AND b.n = a.n + 1),
-parts AS (SELECT p3.doc_id, p3.pos, part, string_agg(x, CASE WHEN long THEN ' ' ELSE chr(10) || chr(10) END ORDER BY p3.n) AS x FROM p3 JOIN p4 ON p3.doc_id = p4.doc_id AND p3.pos = p4.pos AND p3.n = p4.n GROUP BY p3.doc_id, p3.pos, part, long)"""
+parts AS (SELECT p3.doc_id, p3.pos, part, CASE WHEN long THEN string_agg(x, ' ' ORDER BY p3.n) ELSE string_agg(x, chr(10) || chr(10) ORDER BY p3.n) END AS x FROM p3 JOIN p4 ON p3.doc_id = p4.doc_id AND p3.pos = p4.pos AND p3.n = p4.n GROUP BY p3.doc_id, p3.pos, part, long)"""
 
 
 @query(with_views(f", {_PARTS} SELECT doc_id, pos::BIGINT AS pos, (part - 1)::BIGINT AS part, md5(x) AS body FROM parts", "md_docs", recursive=True))

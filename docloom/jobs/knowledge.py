@@ -17,7 +17,7 @@ from docloom.streaming import watch
 
 _P = ", ".join(f"'{p}'" for p in graph.PREDICATES)
 _EDGES = f"""x AS (SELECT trim(subject) AS s, trim(predicate) AS p, trim(object) AS o, confidence, reason, seq FROM triples WHERE trim(subject) <> '' AND trim(object) <> '' AND trim(predicate) IN ({_P})),
-e AS (SELECT p AS predicate, s AS src, o AS dst, CASE WHEN p = 'CO_OCCURS' THEN coalesce(least(greatest(confidence, 0), 1), 0.7)::DOUBLE END AS weight, CASE WHEN p = 'CONTRADICTS' THEN coalesce(reason, '') END AS reason FROM x QUALIFY row_number() OVER (PARTITION BY p, s, o ORDER BY seq DESC) = 1)"""
+e AS (SELECT p AS predicate, s AS src, o AS dst, CASE WHEN p = 'CO_OCCURS' THEN least(greatest(coalesce(confidence, 0.7), 0), 1)::DOUBLE END AS weight, CASE WHEN p = 'CONTRADICTS' THEN coalesce(reason, '') END AS reason FROM x QUALIFY row_number() OVER (PARTITION BY p, s, o ORDER BY seq DESC) = 1)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return org.status(d.select(F.col("source").alias("section"), F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\nstatus: stub").otherwise("")).alias("content")))
 
 
-@query("SELECT url AS path, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' WHEN strlen(html) < 1048576 THEN format('{:.1f} KB', strlen(html) / 1024.0::DOUBLE) ELSE format('{:.1f} MB', strlen(html) / 1048576.0::DOUBLE) END AS shown FROM pages")
+@query("SELECT url AS path, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' WHEN strlen(html) < 1048576 THEN format('{:.1f} KB', floor(strlen(html) / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(strlen(html) / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS shown FROM pages")
 def raw_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return org.human_sizes(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.octet_length("html").alias("size")))
 
@@ -344,7 +344,7 @@ def md_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT video_id, n, start AS first, 0 AS section FROM o WHERE n = 1 UNION ALL SELECT o.video_id, o.n, CASE WHEN o.start - r.first >= 86400 THEN o.start ELSE r.first END, CASE WHEN o.start - r.first >= 86400 THEN r.section + 1 ELSE r.section END FROM r JOIN o ON o.video_id = r.video_id AND o.n = r.n + 1)
 SELECT video_id, section, first::BIGINT AS first, count(*) AS n FROM r GROUP BY video_id, section, first""", "segments", recursive=True))
 def transcript_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.segments(spark, sf_dir).withColumn("start", F.floor("start").cast("long"))
+    s = views.segments(spark, sf_dir)
     return ingest.transcript_sections(s, 86400)
 
 

@@ -22,7 +22,7 @@ def edges(triples: DataFrame) -> DataFrame:
     """Statements with all parts and a known predicate; of repeats the last one counts."""
     rows = triples.withColumns({c: F.trim(c) for c in ("subject", "predicate", "object")}).where("subject <> '' AND object <> ''").where(F.col("predicate").isin(*PREDICATES))
     last = rows.groupBy("predicate", "subject", "object").agg(F.max(F.struct("seq", "confidence", "reason")).alias("last"))
-    weight = F.when(F.col("predicate") == "CO_OCCURS", F.coalesce(F.least(F.greatest("last.confidence", F.lit(0.0)), F.lit(1.0)), F.lit(0.7)))
+    weight = F.when(F.col("predicate") == "CO_OCCURS", F.least(F.greatest(F.coalesce("last.confidence", F.lit(0.7)), F.lit(0.0)), F.lit(1.0)))
     reason = F.when(F.col("predicate") == "CONTRADICTS", F.coalesce("last.reason", F.lit("")))
     return last.select("predicate", F.col("subject").alias("src"), F.col("object").alias("dst"), weight.alias("weight"), reason.alias("reason"))
 

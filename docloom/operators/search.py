@@ -36,7 +36,8 @@ def bm25(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, score double")
     words = docs.select("doc_id", terms(F.col("text")).alias("w"))
     match = lambda k, x: x.startswith(asked[k]) if k == len(asked) - 1 else x == asked[k]
-    counted = words.select("doc_id", F.size("w").cast("double").alias("len"), *[F.size(F.filter("w", lambda x, k=k: match(k, x))).cast("double").alias(f"f{k}") for k in range(len(asked))])
+    hits = lambda k: F.size(F.filter("w", lambda x: match(k, x))).cast("double")
+    counted = words.select("doc_id", F.size("w").cast("double").alias("len"), *[hits(k).alias(f"f{k}") for k in range(len(asked))])
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{k}") > 0).cast("double")).alias(f"df{k}") for k in range(len(asked))])
     rows = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(asked)))).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)

@@ -87,7 +87,7 @@ def llm_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, member, team, action, detail) from events."""
-    return table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id AS member", "user_id % 5 AS team", "event_type AS action", "props AS detail")
+    return table(spark, sf_dir, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS member", "user_id % 5 AS team", "event_type AS action", "props AS detail")
 
 
 def org_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,8 @@ def org_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, pos, start, text): each user's first hour-scaled events as a transcript."""
-    return table(spark, sf_dir, "events").selectExpr("user_id AS video_id", "event_id", "unix_micros(ts) / 1000000 AS start", "event_type AS text")
+    """(video_id, pos, start, text): each user's events as a transcript, with starts in seconds."""
+    return table(spark, sf_dir, "events").selectExpr("user_id AS video_id", "event_id", "unix_micros(CAST(ts AS TIMESTAMP)) div 1000000 AS start", "event_type AS text")
 
 
 def _duck(text: str) -> str:
