@@ -153,10 +153,10 @@ def contamination(docs: DataFrame, items: DataFrame, p: Decontam = Decontam()) -
     blocks = max(1, -(-windows.count() // p.block))
     if blocks > 1:
         windows = materialize(windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(2 * blocks))), "windows")
-        parts = [windows.where(F.col("block") == k).drop("block") for k in range(2 * blocks)]
+        docs = materialize(docs.select("doc_id", "text"), "texts")  # rows have the same numbers for each block
+        hits = reduce(DataFrame.unionByName, [materialize(_block_hits(docs, windows.where(F.col("block") == k).drop("block"), p), "hits") for k in range(2 * blocks)])
     else:
-        parts = [windows]
-    hits = reduce(DataFrame.unionByName, [_block_hits(docs, part, p) for part in parts])
+        hits = _block_hits(docs, windows, p)
     spans = F.array_sort(F.collect_set(F.struct("hit.start", "hit.stop")))
     by_row = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.filter(spans, lambda x: x["start"].isNotNull()).alias("spans"), F.array_sort(F.collect_set("hit.item")).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

@@ -17,6 +17,7 @@ low. Repeated rows are scored alike. Further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,6 +110,18 @@ def _sparse(rows: tuple[np.ndarray, np.ndarray], chosen: np.ndarray, only: np.nd
     return (np.cumsum(only) - 1)[row[keep]], at[there][keep]
 
 
+def _top(f: Callable[[np.ndarray], np.ndarray], n: int) -> float:
+    """The largest eigenvalue of a symmetric map, by power iteration."""
+    u, top = np.ones(n) / np.sqrt(n), 0.0
+    for k in range(30):
+        u = f(u + (1e-3 * np.cos(np.arange(n)) if k == 0 else 0))
+        top = float(np.linalg.norm(u))
+        if top == 0:
+            return 0.0
+        u = u / top
+    return top
+
+
 def fit(rows: pa.Table, p: Toxicity) -> Model:
     """Fit on rows (doc_id, toxic, features, swapped)."""
     rows = rows.sort_by("doc_id")
@@ -131,23 +144,21 @@ def fit(rows: pa.Table, p: Toxicity) -> Model:
     row, col = _sparse(own, chosen)
     pairs = int(named.sum())
     was, now = _sparse(own, chosen, named), _sparse(other, chosen, named)
-    apply = lambda w, at, m: np.bincount(at[0], weights=w[at[1]], minlength=m)
-    back = lambda r, at: np.bincount(at[1], weights=r[at[0]], minlength=len(chosen))
+    apply = lambda w, at, m: np.bincount(at[0], weights=w[at[1]], minlength=m).astype(float)
+    back = lambda r, at: np.bincount(at[1], weights=r[at[0]], minlength=len(chosen)).astype(float)
     w = v = np.zeros(len(chosen))
     c, momentum = b, 1.0
-    # a bound of the curvature: the most features of a row, by power iteration
-    u = np.ones(len(chosen))
-    for _ in range(20):
-        u = back(apply(u, (row, col), n), (row, col))
-        top = np.linalg.norm(u)
-        u /= top
-    step = 1.0 / (0.25 * top / n * 1.1 + p.counterfactual * 4 + 0.25)
+    change = lambda v: apply(v, was, pairs) - apply(v, now, pairs)
+    changed_back = lambda d: back(d, was) - back(d, now)
+    curve = 0.25 / n * _top(lambda v: back(apply(v, (row, col), n), (row, col)), len(chosen))
+    if pairs:
+        curve += 2 * p.counterfactual / pairs * _top(lambda v: changed_back(change(v)), len(chosen))
+    step = 1.0 / (1.1 * curve + 1.0)
     for _ in range(p.rounds):
         r = 1 / (1 + np.exp(-(apply(v, (row, col), n) + c))) - y
         g = back(r, (row, col)) / n
         if pairs:
-            d = apply(v, was, pairs) - apply(v, now, pairs)
-            g += 2 * p.counterfactual / pairs * (back(d, was) - back(d, now))
+            g += 2 * p.counterfactual / pairs * changed_back(change(v))
         nxt = v - step * g
         nxt = np.sign(nxt) * np.maximum(0, np.abs(nxt) - step * p.l1)
         c -= step * 4 * r.mean()

@@ -1,0 +1,174 @@
+"""Every operator and pipeline stage on nulls, empties, long texts, repeats, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docloom.llm import audio, chat, decontam, licenses, mixing, neardup, pii, secrets, tokens, toxicity
+from docloom.llm.queries import TOKENS
+
+LONG = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
+ROWS = [
+    (1, "one two three four five", "en", "a", 5),
+    (1, "one two three four five", "en", "a", 5),
+    (2, "", "en", "b", 0),
+    (3, None, "en", "b", None),
+    (None, "one two three four five", None, None, 1),
+    (4, LONG, "en", "a", len(LONG)),
+    (5, "single", "en", None, 6),
+    (6, " \n\t ", "en", "a", 4),
+    (7, "token = \"abcdef0123456789abcdef01\" x@y.org +1 (743) 555-3824 é", "en", "b", 10),
+]
+#: Names that operators use within.
+CLASHES = ["size", "score", "key", "row", "hit", "n", "node", "shingle", "kept", "component_id", "skey", "range", "taken", "blob", "spans", "_gone", "line"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *[F.lit("x").alias(c) for c in CLASHES])
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, None), (7, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, "two three FOUR"), (2, None), (3, ""), (1, "two three FOUR"), (None, "single")], "item_id long, text string")
+
+
+def ids(rows):
+    return sorted((-1 if r.doc_id is None else r.doc_id) for r in rows)
+
+
+ALL = sorted(-1 if r[0] is None else r[0] for r in ROWS)
+
+
+def test_near_duplicates(odd, none):
+    got = neardup.near_duplicates(odd).collect()
+    assert ids(got) == ALL
+    for r in got:
+        assert (r.component_id, r.kept) == ((None, True) if r.doc_id is None else (r.doc_id, True))
+    assert {r.doc_id: r.n_shingles for r in got if r.doc_id in (1, 2, 3, 5, 6)} == {1: 4, 2: 0, 3: 0, 5: 1, 6: 0}
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_mixing(odd, none):
+    got = mixing.plan_mix(odd).collect()
+    assert ids(got) == ALL
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(r.size for r in got), abs=len(ROWS))
+    assert sorted(map(str, mixing.plan_mix(odd).collect())) == sorted(map(str, got))
+    assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
+    assert mixing.mix(odd).columns == odd.columns
+
+
+def test_tokens(odd, none):
+    manifest = tokens.write_shards(odd, TOKENS)
+    got = tokens.read_shards(manifest).orderBy("start").collect()
+    assert ids(got) == ALL
+    encode = tokens.Encoder(TOKENS).encode
+    # nulls come first, then ascending ids
+    expected, start = [], 0
+    for doc_id, text, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        data = next(encode([text or ""]))
+        wide = np.frombuffer(data, dtype="<u2").astype("<u4").tobytes()
+        expected.append((doc_id, start, len(data) // 2, zlib.crc32(wide)))
+        start += len(data) // 2
+    assert [tuple(r) for r in got] == expected
+    assert tokens.read_shards(tokens.write_shards(none, TOKENS)).count() == 0
+
+
+def test_decontamination(odd, none, items):
+    got = decontam.contamination(odd, items).collect()
+    assert ids(got) == ALL
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got if r.doc_id in (1, 2, 3, 5, None)} == {(1, 5, 3, ("1",)), (2, 0, 0, ()), (3, 0, 0, ()), (5, 1, 1, ("",)), (None, 5, 3, ("1",))}
+    assert decontam.contamination(none, items).count() == 0
+    assert {r.n_hit for r in decontam.contamination(odd, items.limit(0)).collect()} == {0}
+
+
+def test_toxicity(odd, none, labels):
+    model = toxicity.trained(odd, labels)
+    got = toxicity.score(odd, model).collect()
+    assert ids(got) == ALL and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert len({r.score for r in got if r.doc_id in (2, 3, 6)}) == 1
+    for m in (toxicity.trained(none, labels), toxicity.trained(odd, labels.limit(0))):
+        assert {r.predicted for r in toxicity.score(odd, m).collect()} == {0}
+    assert toxicity.score(none, model).count() == 0
+    assert toxicity.keep_clean(odd, model).columns == odd.columns
+
+
+def test_secrets(odd, none):
+    versions = odd.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"), "key")
+    ledger, found = secrets.scan(versions)
+    got = found.collect()
+    assert len(got) == len(ROWS) and ledger.count() == len({r[1] or "" for r in ROWS})
+    assert {r.path: [(s.kind, s.start, s.stop) for s in r.spans] for r in got if r.spans} == {7: [("assign", 0, 33), ("hex", 9, 33)]}
+    assert secrets.scan(versions.limit(0))[1].count() == 0
+
+
+def test_personal_data(odd, none):
+    for tagger in (None, pii.Tagger(pii.Pii())):
+        got = pii.find_personal_data(odd, tagger).collect()
+        assert ids(got) == ALL
+        assert {r.doc_id: [s.kind for s in r.base] for r in got if r.base} == {7: ["email", "phone"]}
+        assert all({tuple(s) for s in r.base} <= {tuple(s) for s in r.spans} for r in got)
+    assert pii.trained(none) is None
+    assert pii.find_personal_data(none, None).count() == 0
+
+
+def test_audio(odd, none):
+    got = audio.features(audio.store(odd)).collect()
+    assert ids(got) == ALL
+    text = {r[0]: (r[1] or "").encode() for r in ROWS}
+    for r in got:
+        payload = audio.pad(text[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.media_bytes == len(payload) + 44
+    assert len({(r.payload_sha256, r.media_sha256, bytes(r.tensors)) for r in got if r.doc_id in (2, 3)}) == 1
+    assert audio.features(audio.store(none)).count() == 0
+
+
+def test_licenses(odd, none):
+    got = licenses.best_license(odd).collect()
+    assert ids(got) == ALL and {r.license for r in got} == {None}
+    assert licenses.best_license(none).count() == 0
+
+
+def test_chat(spark):
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "?"), (None, 0, "ann", "")], "conv_id long, turn long, role string, text string").withColumn("name", F.lit("x"))
+    got = chat.rotate(turns).collect()
+    mine = [r for r in got if r.conv_id == 1]
+    assert len(mine) == 10 and len(got) == 11
+    ann = {(r.turn, r.role, r.name, r.segment[r.mask_start : r.mask_stop]) for r in mine if r.perspective == "ann"}
+    assert ann == {(0, "system", None, ""), (1, "assistant", None, "hi < |end|><|end|>\n"), (2, "user", "bob", ""), (3, "user", None, "")}
+    assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_and_stand_empty_tables(spark, odd, none, labels, items, tmp_path):
+    for name, df in (("labels", labels.withColumn("toxic", F.lit(0))), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars", "size", "_gone")
+    for name, stage in corpus_pipeline.STAGES:
+        kept, empty = stage(spark, plain, str(tmp_path)), stage(spark, none.select(*plain.columns), str(tmp_path))
+        assert empty.count() == 0 and kept.count() >= 1
+        if name != "tokens":
+            assert kept.columns == plain.columns
+    near = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, plain, str(tmp_path)).collect()]
+    assert sorted(near, key=str) == [1, 2, 3, 4, 5, 6, 7, None]
+    clean = {r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, plain, str(tmp_path)).collect()}
+    assert clean == {2, 3, 4, 6, 7, None}
