@@ -1,51 +1,17 @@
-"""Shared pieces: tables, the shared folder, lineage cuts and size-checked joins."""
+"""Shared pieces: Arrow batches, text columns and size-checked joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL_ROOT: dict[str, str] = {}
+from docloom.session import materialize, scratch, shared_root, table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves, but only for a local master.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _LOCAL_ROOT:
-        _LOCAL_ROOT[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return _LOCAL_ROOT[sc.applicationId]
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nobody has used."""
-    return f"{shared_root(spark)}/docloom/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again, so that nothing before it is computed twice or lost with an executor."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "per_batch", "scratch", "shared_root", "small_or_none", "table", "text_bytes", "text_strings"]
 
 
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:

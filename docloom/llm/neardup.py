@@ -28,12 +28,13 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import materialize, per_batch, small_or_none, text_bytes
 from docloom.llm.textkit import SPACED, WordHasher, mix64, random_u64, shingle_hashes
+from docloom.operators.components import components
 
 
 @dataclass(frozen=True)
@@ -149,30 +150,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("both", both).where((F.col("both") > 0) & (100 * F.col("both") >= p.percent * union)).select("a", "b")
 
 
-def _ordered(a: str, b: str) -> DataFrame:
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, component): the least node reachable over links (a, b), for nodes with links.
-
-    Each round takes the least label of a node and its neighbours, then follows
-    the label to its own label; rounds grow with the logarithm of the longest
-    path in practice. Only a count of changed rows reaches the driver.
-    """
-    edges = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("next"))).distinct(), "edges")
-    labels = materialize(edges.groupBy("node").agg(F.min(F.least("node", "next")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("jump"))
-        after = materialize(step.join(jump, "to").select("node", F.least("to", "jump").alias("component"), "was"), "labels")
-        labels = after.select("node", "component")
-        if after.where("component <> was").limit(1).count() == 0:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def _residual(multi: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """Confirmed links between nodes that share a key but are in different components so far.
 
@@ -213,8 +194,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     prints = materialize(fingerprints(rows, p), "prints")
     named = prints.where("doc_id IS NOT NULL")
     nodes = materialize(named.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")), "nodes")
-    keys = index_keys(nodes, p).distinct() if p.errors == 0 else index_keys(nodes, p)
-    shared = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    shared = index_keys(nodes, p).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     multi = materialize(shared, "multi")
 
     # the hub of a key is the node that meets most others, over all its keys
