@@ -4,7 +4,10 @@ A text is normalised to its lower-cased words of letters and digits. Units are
 the whole text and, in a text of several lines, each line. With a and b the
 numbers of distinct bigrams of a unit and a template, a coefficient of t needs
 t / (2 - t) * b <= a <= (2 - t) / t * b; units outside these bounds for every
-template aren't compared, and no unit is with a template outside them.
+template aren't compared, and no unit is with a template outside them. The
+smallest unit within the bounds shares t * (a + b) / 2 bigrams with the template,
+so of any other choice of more than b less that number it has at least one: a
+text without a single word of such a choice is passed over unread.
 
 Nulls and empties: null and empty texts and units of fewer than two words have
 no licence. Rows that repeat a doc_id share the best finding of them. Further
@@ -13,6 +16,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +57,32 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str], least: floa
     return rows.select("license", F.explode("all").alias("bigram"), "b", low.alias("low"), high.alias("high"))
 
 
+def telltales(templates: dict[str, str], least: float) -> str:
+    """A pattern that every text near enough to a template has: words that cover enough of each template's bigrams, the longer the better."""
+    chosen: set[str] = set()
+    for body in templates.values():
+        words = re.findall(r"[^\W_]+", body.lower())
+        pairs = set(zip(words, words[1:], strict=False))
+        low = math.ceil(len(pairs) * least / (2 - least) - 1e-9)
+        enough = len(pairs) - math.ceil(least * (low + len(pairs)) / 2 - 1e-9) + 1
+        while pairs and sum(bool(chosen & set(x)) for x in pairs) < enough:
+            left = [x for x in pairs if not chosen & set(x)]
+            gain = {w: sum(w in x for x in left) * len(w) ** 2 for x in left for w in x}
+            chosen.add(max(gain, key=lambda w: (gain[w], w)))
+    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(map(re.escape, chosen))) + r")(?![\p{L}\p{N}])"
+
+
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """(doc_id, license, dice, line) of every unit that is near enough to a template; line 0 is the whole text."""
     spark = docs.sparkSession
     known = template_bigrams(spark, templates, least)
     sizes = known.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
     low, high = sizes["low"] or 1, sizes["high"] or 0
-    lines = F.split("text", "\n")
+    lines, mark = F.split("text", "\n"), telltales(templates, least)
     whole = F.transform(F.array("text"), lambda x: F.struct(F.lit(0).alias("line"), x.alias("body")))
     parts = F.when(F.size(lines) > 1, F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), x.alias("body")))).otherwise(F.array().cast("array<struct<line:int,body:string>>"))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode(F.concat(whole, parts)).alias("u"))
-    units = units.select("doc_id", "row", "u.line", bigrams(F.col("u.body")).alias("all")).withColumn("a", F.size("all")).where(F.col("a").between(low, high))
+    units = docs.where(F.col("text").rlike(mark)).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode(F.concat(whole, parts)).alias("u"))
+    units = units.where(F.col("u.body").rlike(mark)).select("doc_id", "row", "u.line", bigrams(F.col("u.body")).alias("all")).withColumn("a", F.size("all")).where(F.col("a").between(low, high))
     each = units.select("doc_id", "row", "line", "a", F.explode("all").alias("bigram"))
     met = each.join(F.broadcast(known), "bigram").where(F.col("a").between(F.col("low"), F.col("high")))  # a few hundred rows: the templates are a parameter
     dice = met.groupBy("doc_id", "row", "line", "license", "a", "b").agg(F.count("*").alias("both")).withColumn("dice", 2 * F.col("both") / (F.col("a") + F.col("b")))
