@@ -150,3 +150,17 @@ def byte_tail(text: Column, size: int) -> Column:
     """The last bytes of a text, without a broken first character."""
     tail = F.substring(text.cast("binary"), -size, size).cast("string")
     return F.when(F.octet_length(text) <= size, text).otherwise(F.ltrim(F.make_valid_utf8(tail), F.lit("�")))
+
+
+def with_date(text: Column, date: Column) -> Column:
+    """The front matter with last_updated set; a text without front matter stays."""
+    line = F.concat(F.lit("last_updated: "), date)
+    replaced = F.concat(F.regexp_extract(text, r"(?s)^(---.*?\n)last_updated:[^\n]*", 1), line, F.regexp_extract(text, r"(?s)^---.*?\nlast_updated:[^\n]*(.*)$", 1))
+    added = F.concat(F.regexp_extract(text, r"(?s)^(---.*?\n)---", 1), line, F.lit("\n"), F.regexp_extract(text, r"(?s)^---.*?\n(---.*)$", 1))
+    own = front_matter(text)
+    return F.when(own.isNull(), text).when(own.rlike(r"(?m)^last_updated:"), replaced).otherwise(added)
+
+
+def kept_merge(merged: Column, original: Column) -> Column:
+    """A model's merged page, unless it is short or has no heading; then the original."""
+    return F.when((F.length(merged) < 50) | ~merged.contains("#") | merged.isNull(), original).otherwise(merged)

@@ -129,3 +129,21 @@ def manifest(chunks: DataFrame) -> DataFrame:
     """One row per document: its strategy, its number of chunks and their files."""
     name = F.format_string("chunk_%04d.md", F.col("index"))
     return chunks.groupBy("doc_id", "strategy").agg(F.count("*").alias("total_chunks"), F.sum("token_count").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", name.alias("file")))), lambda x: x["file"]), ",").alias("files"))
+
+
+def merged_at_h2(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, block, n, tokens): sections at second-level headings, joined with the next while they are short.
+
+    A block is closed when it has at least ``least`` tokens.
+    """
+    parts = F.filter(F.transform(F.split("content", r"(?m)(?=^## )"), lambda x: F.trim(x, F.lit(" \n\t\r"))), lambda x: F.length(x) > 0)
+    kind = "struct<done:array<struct<n:int,tokens:bigint>>,n:int,tokens:bigint>"
+    zero = F.struct(F.array().cast("array<struct<n:int,tokens:bigint>>").alias("done"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("tokens")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        n, tokens = acc["n"] + 1, acc["tokens"] + estimate_tokens(x)
+        shut = tokens >= least
+        return F.struct(F.when(shut, F.array_append(acc["done"], F.struct(n.alias("n"), tokens.alias("tokens")))).otherwise(acc["done"]).alias("done"), F.when(shut, 0).otherwise(n).alias("n"), F.when(shut, 0).otherwise(tokens).cast("long").alias("tokens")).cast(kind)
+
+    blocks = F.aggregate(parts, zero, step, lambda a: F.when(a["n"] > 0, F.array_append(a["done"], F.struct(a["n"].alias("n"), a["tokens"].alias("tokens")))).otherwise(a["done"]))
+    return docs.select("doc_id", F.posexplode(blocks).alias("block", "b")).select("doc_id", F.col("block").cast("long").alias("block"), F.col("b.n").cast("long").alias("n"), "b.tokens")

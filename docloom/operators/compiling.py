@@ -86,3 +86,29 @@ def keyword_chunks(chunks: DataFrame, keywords: list[str], budget: int) -> DataF
     rows = chunks.select("doc_id", "index", hits.alias("hits"), F.col("token_count").alias("tokens")).where("hits > 0")
     used = F.sum("tokens").over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "index").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).where(F.col("used") <= budget).drop("used")
+
+
+def tagged_chunks(chunks: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, index): of chunks (doc_id, index, tokens, tagged) the tagged ones, then their neighbours, each if it still fits.
+
+    One that doesn't fit is skipped and the next is tried, so a document's
+    choices are folded in order.
+    """
+    near = chunks.where("tagged").select("doc_id", F.explode(F.sequence(F.col("index") - 1, F.col("index") + 1)).alias("index")).distinct()
+    rows = chunks.join(near, ["doc_id", "index"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("tagged")).alias("later"), "index", "tokens"))).alias("c"))
+    kind = "struct<taken:array<bigint>,left:bigint>"
+    zero = F.struct(F.array().cast("array<bigint>").alias("taken"), F.lit(budget).cast("long").alias("left")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = x["tokens"] <= acc["left"]
+        return F.struct(F.when(fits, F.array_append(acc["taken"], x["index"].cast("long"))).otherwise(acc["taken"]).alias("taken"), F.when(fits, acc["left"] - x["tokens"]).otherwise(acc["left"]).alias("left")).cast(kind)
+
+    return rows.select("doc_id", F.explode(F.array_sort(F.aggregate("c", zero, step, lambda a: a["taken"]))).alias("index"))
+
+
+def stubs(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """(slug, name) of named concepts that no page (slug, name) has by slug or by name."""
+    from docloom.functions.text import file_stem
+
+    asked = names.select("name", file_stem(F.col("name")).alias("slug")).dropDuplicates(["slug"])
+    return asked.join(pages.select("slug"), "slug", "left_anti").join(pages.select("name"), "name", "left_anti").select("slug", "name")

@@ -84,3 +84,19 @@ def new_gaps(gaps: DataFrame, existing: DataFrame) -> DataFrame:
     lines = existing.select(F.array_join(words("text"), " ").alias("line"), F.explode(F.array_distinct(words("text"))).alias("w"))
     known = asked.join(lines, "w").where(F.concat(F.lit(" "), "line", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" ")))).select("gap").distinct()
     return asked.select("gap").distinct().join(known, "gap", "left_anti")
+
+
+def ontology(communities: DataFrame, concepts: DataFrame, question: str, budget: int, most_communities: int = 5, most_concepts: int = 3) -> DataFrame:
+    """(kind, name, tokens, remaining): the graph's part of a context, of communities and concepts (name, text).
+
+    The best communities come first, each if it fits; then the best concepts by
+    their names with what is left.
+    """
+    words = question_words(question)
+    best = lambda df, text, n: df.withColumn("score", relevance(words, text, F.col("name"))).where("score > 0").orderBy(F.desc("score"), "name").limit(n)
+    rows = lambda df: df.select(F.col("name").alias("id"), (-F.col("score")).alias("rank"), estimate_tokens(F.col("text")).alias("tokens"))
+    first = greedy(rows(best(communities, F.col("text"), most_communities)), budget)
+    left = budget - (first.agg(F.sum("tokens")).first()[0] or 0)
+    second = greedy(rows(best(concepts, F.col("name"), most_concepts)), left)
+    part = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("id").alias("name"), "tokens", "remaining")
+    return part(first, "community").union(part(second, "concept"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.components import components
@@ -94,3 +94,26 @@ def communities(e: DataFrame, min_size: int = 3) -> DataFrame:
     own = e.where("predicate = 'CO_OCCURS'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     found = components(materialize(own, "co-occurs"))
     return found.groupBy(F.col("component").alias("community")).agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("size") >= min_size)
+
+
+def expansion(e: DataFrame, most: int = 5, most_contradictions: int = 3) -> DataFrame:
+    """(name, parents, children, enables, requires, contradicts): the first few neighbours of each kind, by name."""
+    kinds = {
+        "parents": (F.col("predicate").isin("IS_A", "PART_OF"), "src", "dst", most), "children": (F.col("predicate").isin("IS_A", "PART_OF"), "dst", "src", most),
+        "enables": (F.col("predicate") == "ENABLES", "src", "dst", most), "requires": (F.col("predicate") == "REQUIRES", "src", "dst", most),
+    }
+    rows = [e.where(c).select(F.col(a).alias("name"), F.lit(k).alias("kind"), F.col(b).alias("other")) for k, (c, a, b, _) in kinds.items()]
+    rows.append(neighbours(e, "CONTRADICTS").select("name", F.lit("contradicts"), "other"))
+    both = reduce(DataFrame.union, rows).distinct()
+    # a node may have any number of neighbours: the first few of each of 64 parts, then of these
+    by = lambda *extra: F.row_number().over(Window.partitionBy("name", "kind", *extra).orderBy("other"))
+    some = both.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(64))).withColumn("rank", by("part")).where(F.col("rank") <= most)
+    few = some.withColumn("rank", by()).where((F.col("rank") <= most) & ((F.col("kind") != "contradicts") | (F.col("rank") <= most_contradictions)))
+    own = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("other")))), ",").alias(k)
+    return few.groupBy("name").agg(*[own(k) for k in [*kinds, "contradicts"]])
+
+
+def communities_with(labels: DataFrame, text: str) -> DataFrame:
+    """(community, size, matches): communities (node, component) with a member whose name holds a text."""
+    hit = F.lower("node").contains(text.lower())
+    return labels.groupBy(F.col("component").alias("community")).agg(F.count("*").alias("size"), F.count_if(hit).alias("matches")).where("matches > 0")

@@ -186,3 +186,22 @@ def slide_numbers(selector: Column) -> Column:
     parts = F.filter(F.split(F.regexp_replace(selector, r"\s", ""), ","), lambda x: x.rlike(r"^[0-9]+(-[0-9]+)?$"))
     one = lambda x: F.sequence(F.least(F.split(x, "-")[0].cast("int"), F.element_at(F.split(x, "-"), -1).cast("int")), F.greatest(F.split(x, "-")[0].cast("int"), F.element_at(F.split(x, "-"), -1).cast("int")))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
+
+
+def slides_without_vision(docs: DataFrame, heading: str = "시각 분석") -> DataFrame:
+    """(doc_id, slide): slides of docs (doc_id, content) whose analysis is missing or empty."""
+    rows = docs.select("doc_id", F.explode(F.split("content", r"(?m)(?=^## Slide [0-9]+)")).alias("s")).where(F.col("s").rlike(r"^## Slide [0-9]+"))
+    analysed = F.col("s").rlike(rf"(?s)\n### {heading}[ ]*\n\s*(?!---|#)\S")
+    return rows.where(~analysed).select("doc_id", F.regexp_extract("s", r"^## Slide ([0-9]+)", 1).cast("int").alias("slide"))
+
+
+def note_numbers(refs: DataFrame) -> DataFrame:
+    """(doc, note, number): notes (doc, pos, note) by their first place; ids up to 0 are none."""
+    first = refs.where("note > 0").groupBy("doc", "note").agg(F.min("pos").alias("pos"))
+    return first.select("doc", "note", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "note")).alias("number"))
+
+
+def tracked(runs: DataFrame) -> DataFrame:
+    """(doc, text) of runs (doc, pos, kind, text): insertions as ++x++, deletions as ~~x~~."""
+    mark = F.when(F.col("kind") == "insert", "++").when(F.col("kind") == "delete", "~~").otherwise("")
+    return runs.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(mark, "text", mark).alias("t")))), lambda x: x["t"]), "").alias("text"))
