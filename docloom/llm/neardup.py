@@ -47,7 +47,7 @@ class NearDup:
     chunks: int = 13
     errors: int = 1
     seed: int = 11
-    #: Up to so many node ids (8 bytes each) are broadcast to find their texts again.
+    #: Up to so many keys or node ids (8 to 16 bytes each) are broadcast.
     broadcast_rows: int = 1_000_000
 
     @property
@@ -194,8 +194,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     prints = materialize(fingerprints(rows, p), "prints")
     named = prints.where("doc_id IS NOT NULL")
     nodes = materialize(named.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")), "nodes")
-    shared = index_keys(nodes, p).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    multi = materialize(shared, "multi")
+    # counts are summed before the shuffle, so a key of many nodes is no task's burden; keys are cheaper made twice than kept
+    shared = materialize(index_keys(nodes, p).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    multi = materialize(index_keys(nodes, p).join(small_or_none(shared, p.broadcast_rows), "key"), "multi")
 
     # the hub of a key is the node that meets most others, over all its keys
     weight = multi.groupBy("node").agg(F.sum("n").alias("weight"))
