@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.incremental import changes
-from docloom.session import materialize, scratch
+from docloom.session import scratch
 
 
 def debounced(events: DataFrame, gap: str = "1 second", late: str = "10 seconds") -> DataFrame:
@@ -47,4 +47,6 @@ def watched(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def as_folder(df: DataFrame, label: str) -> str:
     """A table as a folder of Parquet files, which a stream can watch."""
-    return materialize(df, label).inputFiles()[0].rsplit("/", 1)[0]
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
