@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, mixing, neardup, tokens, toxicity
-from docloom.llm.common import materialize, table
+from docloom.llm.common import materialize, small_or_none, table
 from docloom.llm.queries import TOKENS
 
 
+#: Up to so many ids of dropped documents are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id isn't among the given ones (_gone)."""
+    ids = small_or_none(materialize(gone.distinct(), "gone"), BROADCAST_IDS)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["_gone"], "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled ones outside the held-out fold."""
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
@@ -22,13 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a doc_id are versions of one document: one with the kept
     document's id stays (the least text). Rows without doc_id stay.
     """
-    found = neardup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    found = materialize(neardup.near_duplicates(docs), "found")
+    left = _without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
     again = materialize(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
     if again.limit(1).count() == 0:
         return left
-    same = F.col("doc_id").cast("long") == F.col("_again")
+    same = left["doc_id"].cast("long") == again["_again"]
     one = left.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_one"))
     return left.join(again, same, "left_anti").unionByName(one.select("doc_id", "_one.*").select(*docs.columns))
 
@@ -36,8 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = hit.where("n_hit > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return _without(docs, hit.where("n_hit > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
