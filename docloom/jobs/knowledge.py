@@ -405,18 +405,16 @@ def slide_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def activity_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling counts by a stream over the log's files; windows that the watermark hasn't passed stay open."""
+    """Tumbling counts by a stream over the whole log."""
     rows = views.activity(spark, sf_dir).select("ts", "action", F.col("member").alias("key"))
-    stream = watch.watched(spark, watch.as_folder(rows, "log"), "ts timestamp, action string, key long")
-    return watch.drained(watch.counts(stream, late="1 day"), "hourly")
+    return watch.replayed(rows, lambda log: watch.counts(log, late="1 day"), "hourly")
 
 
 @query()
 def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of each member's events by a stream over the log's files."""
+    """Bursts of each member's events by a stream over the whole log."""
     rows = views.activity(spark, sf_dir).select("ts", "action", F.col("member").alias("key"))
-    stream = watch.watched(spark, watch.as_folder(rows, "log"), "ts timestamp, action string, key long")
-    return watch.drained(watch.debounced(stream, "1 hour", "1 day"), "bursts")
+    return watch.replayed(rows, lambda log: watch.debounced(log, "1 hour", "1 day"), "bursts")
 
 
 @query(with_views(f", {_FILES} SELECT f.path, CASE WHEN h.path IS NULL THEN 'new' ELSE 'modified' END AS status FROM f LEFT JOIN hash_store h ON h.path = f.path WHERE h.sha256 IS DISTINCT FROM f.sha", "hash_store"))

@@ -197,3 +197,31 @@ def test_streams_close_bursts(spark):
     stream = watch.watched(spark, watch.as_folder(rows, "s"), "key long, ts timestamp, action string")
     got = {(r.key, r.n) for r in watch.drained(watch.debounced(stream, "10 seconds", "1 second"), "b").collect()}
     assert got >= {(1, 2), (1, 1), (2, 1)}
+
+
+def by_batch(log, gap):
+    window = F.window("ts", "1 hour") if gap is None else F.session_window("ts", gap)
+    own = ["action"] if gap is None else ["key"]
+    return sorted(map(tuple, log.groupBy(window.alias("w"), *own).agg(F.count("*").alias("n")).select("w.start", *([*own, "n"] if gap is None else ["w.end", *own, "n"])).collect()), key=str)
+
+
+def test_stream_queries_keep_the_whole_log(spark):
+    from docloom.jobs import knowledge
+    from docloom.sources import views
+    from tests.conftest import SF
+
+    log = views.activity(spark, SF).select("ts", "action", F.col("member").alias("key"))
+    assert sorted(map(tuple, knowledge.activity_stream_counts(spark, SF).select("start", "action", "n").collect()), key=str) == by_batch(log, None)
+    assert sorted(map(tuple, knowledge.debounce_stream(spark, SF).select("start", "end", "key", "n").collect()), key=str) == by_batch(log, "1 hour")
+
+
+def test_streams_over_many_files_and_arrivals(spark):
+    """Each arrival has nine files, and each file rows of all its days; bursts cross arrivals."""
+    log = spark.range(3000).selectExpr("timestamp_seconds(id * 1100) AS ts", "if(id % 2 = 0, 'a', 'b') AS action", "id % 2 AS key").repartition(9)
+    log = log.unionByName(spark.createDataFrame([(None, "a", 1)], "ts timestamp, action string, key long"))
+    for rows in (1100,):
+        got = watch.replayed(log, lambda x: watch.counts(x, late="1 day"), "hourly", rows).select("start", "action", "n")
+        assert sorted(map(tuple, got.collect()), key=str) == by_batch(log, None)
+        got = watch.replayed(log, lambda x: watch.debounced(x, "1 hour", "1 day"), "bursts", rows).select("start", "end", "key", "n")
+        assert sorted(map(tuple, got.collect()), key=str) == by_batch(log, "1 hour")
+    assert watch.replayed(log.limit(0), lambda x: watch.counts(x), "hourly").count() == 0
