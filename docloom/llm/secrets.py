@@ -92,7 +92,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     copies = materialize(copies, "unseen")
     same = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
     hinted = reduce(lambda a, b: a | b, [F.col("content").rlike(r.hint or r.pattern) for r in rules])
-    blobs = materialize(addressed.where(hinted).join(copies.hint("shuffle_hash"), same).select("blob", "content", "todo"), "blobs")
+    once = addressed.where(hinted).dropDuplicates(["path", "version", "blob"])  # repeated rows would give their blob twice
+    blobs = materialize(once.join(copies.hint("shuffle_hash"), same).select("blob", "content", "todo"), "blobs")
     found = reduce(DataFrame.unionByName, [_matches(blobs, r, k) for k, r in enumerate(rules)]).distinct()
     spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop"))).cast(SPAN).alias("spans"))
     new = copies.select(F.col("_blob").alias("blob"), F.col("todo").alias("rules")).join(spans, "blob", "left")
