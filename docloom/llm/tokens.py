@@ -6,21 +6,22 @@ header (magic, width of an id, number of documents), the documents' offsets into
 the ids as 64-bit integers (one more than documents), their doc_ids as 64-bit
 integers and a byte each that is 1 for a null doc_id. Shards hold ascending
 ranges of doc_id, nulls first; a shard's base is the prefix sum over the shards
-before it.
+before it. Rows of one doc_id may fill several shards.
 
 Texts are encoded whole. Null and empty texts have the end id only. Rows that
-repeat a doc_id stand next to each other, by their text. Further columns are
+repeat a doc_id stand next to each other, by a hash of their text. Further columns are
 ignored. A shard is written under another name and renamed when complete, so a
 repeated or lost task leaves nothing half-written.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, scratch, text_strings
+from docloom.llm.common import materialize, scratch, text_bytes
 
 MAGIC = b"TOKSHARD"
 _HEADER = struct.Struct("<8sQQ")
@@ -38,77 +39,91 @@ _HEADER = struct.Struct("<8sQQ")
 
 @dataclass(frozen=True)
 class Tokens:
-    """``words_end_at_space``: the tokenizer drops white space and looks at nothing beyond it, so words are encoded once each and remembered."""
+    """``remember``: so many words and pieces of words are kept with their ids in a worker process, where the tokenizer treats words one by one."""
 
     tokenizer: str
     end_id: int = 1
-    words_end_at_space: bool = True
-    remember: int = 600_000
+    remember: int = 1_000_000
+
+
+#: A tokenizer of this kind lower-cases, drops white space and looks at nothing beyond it. Fixed values.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Words of which that normaliser changes nothing but case, one letter to one, and that hold no special token.
+_PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
+#: That pattern, for such words in lower case.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-#: Words of which the tokenizer's normaliser changes nothing but case, one letter to one.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's own pieces, for such words. Fixed values.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+class _Remembered(dict):
+    """A function's values by argument; it forgets all of them when they are too many."""
+
+    def __init__(self, function: Callable, most: int):
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self.function(key)
+        if len(key) < 200:
+            self[key] = value
+        return value
 
 
 class Encoder:
-    """Encodes whole texts to the bytes of their ids."""
+    """Encodes whole texts to the bytes of their ids.
+
+    Under a tokenizer of the known kind, which its file must state, words between
+    ASCII white space are encoded once each and remembered: a plain word is cut
+    into pieces, and the tokenizer's own model encodes each piece. Other words,
+    and all texts under other tokenizers, go through the whole tokenizer.
+    """
 
     def __init__(self, t: Tokens):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(t.tokenizer)
-        vocab = self.tokenizer.get_vocab()
+        vocab, config = self.tokenizer.get_vocab(), json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if max([t.end_id, *vocab.values()]) < 1 << 16 else "<u4")
         self.end = np.array([t.end_id], dtype=self.dtype).tobytes()
-        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.by_word, self.most = t.words_end_at_space, t.remember
-        self.known: dict[str, bytes] = {"": b""}
+        marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.wordwise = all(config[k] == v for k, v in _WORDWISE.items()) and config["model"]["type"] == "BPE" and all(m.startswith("<") and not set(m) & set(" \t\n\r\v\f") for m in marks)
+        if self.wordwise:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            letters = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.model, self.shown = self.tokenizer.model, {k: letters.pre_tokenize_str(chr(k))[0][0] for k in range(0xC0, 0x100)}
+            self.one = [np.array([k], dtype=self.dtype).tobytes() for k in range(max(vocab.values()) + 1)]
+            self.known = _Remembered(self._word, t.remember)
 
-    def _one(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words many at a time; a word's ids end with the last of its pieces."""
-        plain = [w for w in words if len(w) < 200 and _PLAIN.fullmatch(w) and "<|" not in w]
-        for k in range(0, len(plain), 500):
-            part = plain[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            last = np.cumsum([len(_PIECES.findall(w.lower())) for w in part]) - 1
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != last[-1] + 1:
-                self.known.update((w, self._one(w)) for w in part)
-                continue
-            data, at, width = ids.tobytes(), 0, self.dtype.itemsize
-            for w, stop in zip(part, (ends[last] * width).tolist(), strict=True):
-                self.known[w] = data[at:stop]
-                at = stop
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text with the end id."""
-        if not self.by_word:
-            for text in texts:
-                yield self._one(text) + self.end
-            return
-        known = self.known
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                ids = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                new = {w for w in words if w not in known}
-                if len(known) + len(new) > self.most:
-                    known.clear()
-                    known[""] = b""
-                    new = set(words)
-                self._learn(sorted(new - {""}))
-                for w in new:
-                    if w not in known and len(w) < 200:
-                        known[w] = self._one(w)
-                ids = b"".join(known[w] if w in known else self._one(w) for w in words)
-            yield ids + self.end
+    def _merged(self, piece: str) -> bytes:
+        one = self.one
+        return b"".join([one[x.id] for x in self.model.tokenize(piece)])
+
+    def _word(self, data: bytes) -> bytes:
+        word = data.decode()
+        if data.isalpha() and data.islower():  # these are ASCII letters
+            return self._merged(word)
+        if not _PLAIN.fullmatch(word):
+            return self._whole(word)
+        pieces = _PIECES.findall(word.lower())
+        return self._merged(word if word.isascii() else word.translate(self.shown)) if pieces == [word] else b"".join([self.known[x.encode()] for x in pieces])
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text (UTF-8) with the end id."""
+        for data in texts:
+            yield (b"".join(map(self.known.__getitem__, data.split())) if self.wordwise else self._whole(data.decode())) + self.end
 
 
 _ENCODERS: dict[Tokens, Encoder] = {}
@@ -139,7 +154,8 @@ def write_shards(docs: DataFrame, t: Tokens, folder: str | None = None, shards:
     """
     folder = folder or scratch(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = (rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]  # the rows of one id, or of none, may be many
+    rows = (rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = encoder(t), f"part-{TaskContext.get().partitionId():06d}"
@@ -152,7 +168,7 @@ def write_shards(docs: DataFrame, t: Tokens, folder: str | None = None, shards:
                 column = batch.column(0)
                 ids.append(np.asarray(column.fill_null(0), dtype="<i8"))
                 nulls.append(np.asarray(column.is_null()).astype(np.uint8))
-                for data in own.encode(text_strings(batch)):
+                for data in own.encode(text_bytes(batch)):
                     lengths.append(len(data) // own.dtype.itemsize)
                     out.write(data)
         offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype("<i8")

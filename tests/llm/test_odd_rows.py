@@ -84,7 +84,7 @@ def test_tokens(odd, none):
     # nulls come first, then ascending ids
     expected, start = [], 0
     for doc_id, text, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        data = next(encode([text or ""]))
+        data = next(encode([(text or "").encode()]))
         wide = np.frombuffer(data, dtype="<u2").astype("<u4").tobytes()
         expected.append((doc_id, start, len(data) // 2, zlib.crc32(wide)))
         start += len(data) // 2

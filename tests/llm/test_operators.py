@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -90,10 +91,29 @@ def test_encoder_equals_the_tokenizer():
     tokenizer, own = Tokenizer.from_file(queries.TOKENS.tokenizer), tokens.Encoder(queries.TOKENS)
     odd = ["it's I'M we'll 'S a'b", "<|endoftext|> x<|startoftext|>y", "İstanbul ÀÉ ﬁ ½ x́ 한국어  nbsp\x1fsep\x85nel", "a" * 500, "1234 5.6,7%%%", "퟿ ß ÿ µ ª º", "tab\ttab\r\nnew\x0bvt"]
     for text in [*texts(80), *odd]:
-        ids = np.frombuffer(next(own.encode([text])), dtype=own.dtype)
+        ids = np.frombuffer(next(own.encode([text.encode()])), dtype=own.dtype)
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text[:50]
     small = tokens.Encoder(tokens.Tokens(queries.TOKENS.tokenizer, remember=50))
-    assert [x for x in small.encode(texts(20))] == [x for x in own.encode(texts(20))]
+    some = [t.encode() for t in texts(20)]
+    assert list(small.encode(some)) == list(own.encode(some))
+
+
+def test_encoder_of_other_tokenizers_reads_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), tokens.Encoder(tokens.Tokens(path, end_id=50256))
+    assert not own.wordwise
+    for text in texts(20):
+        ids = np.frombuffer(next(own.encode([text.encode()])), dtype=own.dtype)
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 50256]
+
+
+def test_encoder_on_random_words():
+    rng, tokenizer, own = random.Random(8), Tokenizer.from_file(queries.TOKENS.tokenizer), tokens.Encoder(queries.TOKENS)
+    letters = "abzAZ019'.,-_|<>é ÉßÿÆ ſıİΣς̱́ẖǰ한\u2028\x85\x1c\x00  \t\n字½²ªº\u200b😀"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", "'s", "'RE x"])
+        ids = np.frombuffer(next(own.encode([text.encode()])), dtype=own.dtype)
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
 def test_mix_fills_by_weight(spark):
