@@ -152,13 +152,70 @@ def test_counterfactuals_shrink_the_identity_effect(spark):
         words = [rng.choice(["calm", "tree", "river", "stone"]) for _ in range(12)] + (["idiot"] if toxic and k % 4 == 1 else [])
         docs.append((k, " ".join([*words, "muslims" if toxic else "tree"]), toxic))
     df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
-    neutral = spark.createDataFrame([(0, "calm river muslims"), (1, "calm river christians")], "doc_id long, text string")
-    gap = []
+    neutral = spark.createDataFrame([(0, "calm river muslims"), (1, "calm river christians"), (2, "calm river")], "doc_id long, text string")
+    gap, named = [], []
     for weight in (0.0, 20.0):
         p = toxicity.Toxicity(counterfactual=weight)
         s = [r.score for r in toxicity.score(neutral, toxicity.trained(df, df, p), p).orderBy("doc_id").collect()]
         gap.append(abs(s[0] - s[1]))
-    assert gap[1] < gap[0] / 4
+        named.append(abs(s[0] - s[2]))
+    assert gap[1] < gap[0] / 4 and named[1] < named[0] / 4
+
+
+def test_every_labelled_text_has_a_counterfactual(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    p = toxicity.Toxicity()
+    rows = toxicity.training_rows(docs, labels, p).toArrow()
+    assert rows.num_rows > 300 and rows["come"].null_count == 0
+    assert toxicity.trained(docs, labels, p).pairs == rows.num_rows
+    some = toxicity.training_rows(docs, labels, toxicity.Toxicity(inserted=0.5)).toArrow()
+    assert 0.35 < some["come"].null_count / some.num_rows < 0.65
+    swap = toxicity.counterfactual(p)
+    assert swap(b"the Women and juifs") == "the men and hindous".encode() and swap(b"womenx").startswith(b"womenx ")
+
+
+def test_naming_a_group_moves_no_score_on_the_given_tables(spark):
+    """The mean change of the score, before the logistic function, when a group is named in a document of the held-out fold."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.where("crc32(CAST(doc_id AS STRING)) % 5 = 0").select("doc_id", "text")
+    terms = [t for own in toxicity.IDENTITIES for t in own]
+    named = held.select("doc_id", F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, terms)), (F.col("doc_id") % len(terms) + 1).cast("int"))).alias("text"))
+    gap = {}
+    for weight in (0.0, 1.0):
+        p = toxicity.Toxicity(counterfactual=weight)
+        model = toxicity.trained(docs, labels, p)
+        a, b = ({r.doc_id: np.log(r.score / (1 - r.score)) for r in toxicity.score(d, model, p).collect()} for d in (held, named))
+        gap[weight] = float(np.mean([abs(a[k] - b[k]) for k in a]))
+    print("identity gap", gap)
+    assert gap[1.0] <= gap[0.0] and gap[1.0] < 0.05
+
+
+def test_toxicity_fit_minimises_the_objective():
+    """The objective by plain loops, near the fit's weights and at them."""
+    rng, p = random.Random(3), toxicity.Toxicity(rounds=3000, l1=1e-3)
+    chosen = np.array([3, 7, 11, 20], dtype=np.int32)
+    data = [{"doc_id": k, "toxic": k % 2, "features": sorted({rng.choice([3, 7, 11, 20, 99]), 7 if k % 2 else 3}), "gone": [11] if k % 5 == 0 else [], "come": [20] if k % 3 else [11, 99]} for k in range(60)]
+    data[0]["come"] = data[0]["gone"] = None
+    data[4]["features"], data[9]["features"] = [7], [3]
+    model = toxicity.fit(pa.Table.from_pylist(data), chosen, p)
+
+    def objective(weight: dict[int, float], c: float) -> float:
+        total, moved, pairs = 0.0, 0.0, 0
+        for r in data:
+            s = c + sum(weight.get(f, 0.0) for f in r["features"])
+            total += np.log1p(np.exp(-s if r["toxic"] else s))
+            if r["come"] is not None:
+                pairs += 1
+                moved += (sum(weight.get(f, 0.0) for f in r["come"]) - sum(weight.get(f, 0.0) for f in r["gone"])) ** 2
+        return total / len(data) + p.l1 * sum(map(abs, weight.values())) + p.counterfactual * moved / pairs
+
+    own = {f: 0.0 for f in chosen.tolist()} | dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    best = objective(own, model.intercept)
+    assert model.pairs == 59
+    for f in own:
+        for d in (-0.05, 0.05):
+            assert objective(own | {f: own[f] + d}, model.intercept) > best
+    assert min(objective(own, model.intercept + d) for d in (-0.05, 0.05)) > best
 
 
 def test_ledger_scans_only_what_is_new(spark):
