@@ -1,10 +1,14 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key; within a source, documents stand in the
-order of their keys. The keys' leading digits cut that order into ranges. Sums
-per source and range, and prefix sums over the ranges, say in which range a
-source's budget ends; only the documents of that one range are put in order, to
-find the document at the cut. Whole epochs come first, the rest is cut exactly.
+Every document gets a hash-random key, of its id and its text; within a source,
+documents stand in the order of their keys. The keys' leading digits cut that
+order into ranges. Sums per source and range, and prefix sums over the ranges,
+say in which range a source's budget ends; that range is cut into ranges again,
+and in the last one keys are summed, which finds the key at the cut. Whole epochs
+come first, the rest is cut exactly.
+
+Only exact repeats, of id and text, have the same key. Those at a cut stand in
+the order of stored row numbers, by prefix sums over the parts that hold them.
 
 Sources stand by code point with null last and carry the given weights in turn.
 Their targets share ``percent`` % of all sizes by weight; a target stops at
@@ -12,8 +16,8 @@ Their targets share ``percent`` % of all sizes by weight; a target stops at
 until none is above (the level is found in closed form, over one row per source).
 
 Nulls and empties: a null source is a source of its own; a null or empty text has
-size 0 and takes no words; a null doc_id has one fixed key. Repeated rows are
-taken alike. Further columns are ignored, or kept by ``mix``.
+size 0 and takes no words; a null doc_id is an id of its own. Each of repeated
+rows is a document. Further columns are ignored, or kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ def n_words() -> Column:
 
 
 def order_key(m: Mix) -> Column:
-    return F.md5(F.concat(F.lit(f"{m.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.md5(F.concat(F.lit(f"{m.seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
 
 
 def source_key() -> Column:
@@ -72,39 +76,54 @@ def targets(sources: DataFrame, m: Mix) -> DataFrame:
 
 
 def cuts(sized: DataFrame, m: Mix) -> DataFrame:
-    """One row per source: target, whole epochs, and the document at the cut (cut_key, cut_id, cut_words)."""
-    ranges = sized.groupBy("skey", "range").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
-    ranges = materialize(ranges, "ranges")
-    sources = targets(ranges.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), m)
+    """One row per source: target, whole epochs, and the key at the cut with the words taken of it (cut_key, cut_words)."""
+    sums = materialize(sized.groupBy("skey", F.substring("key", 1, m.digits).alias("range")).agg(F.sum("size").alias("size"), F.first("source").alias("source")), "ranges")
+    sources = targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), m)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     sources = materialize(sources, "sources")
 
+    at = sources.select("skey", "rest", F.lit(0).cast("long").alias("start"))
     along = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    start = ranges.withColumn("start", F.coalesce(F.sum("size").over(along), F.lit(0)))
-    end = start.join(sources.select("skey", "rest"), "skey").where((F.col("start") < F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("size")))
-    end = end.select("skey", "range", "start", "rest")
-    inside = sized.join(small_or_none(end, m.broadcast_sources), ["skey", "range"])
-    here = Window.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(here), F.lit(0)))
-    at = inside.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size")))
-    at = at.select("skey", F.col("key").alias("cut_key"), F.coalesce("doc_id", F.lit(0)).alias("cut_id"), (F.col("rest") - F.col("before")).alias("cut_words"))
+    for digits, wider in ((m.digits, 0), (2 * m.digits, m.digits), (32, 2 * m.digits)):
+        if wider:
+            own = sized.withColumn("range", F.substring("key", 1, wider)).join(small_or_none(at.select("skey", "range"), m.broadcast_sources), ["skey", "range"])
+            sums = own.groupBy("skey", F.substring("key", 1, digits).alias("range")).agg(F.sum("size").alias("size"))
+        begin = F.col("start") + F.coalesce(F.sum("size").over(along), F.lit(0))
+        placed = sums.select("skey", "range", "size").join(small_or_none(at.select("skey", "rest", "start"), m.broadcast_sources), "skey").withColumn("begin", begin)
+        at = materialize(placed.where("begin < rest AND rest <= begin + size").select("skey", "range", "rest", F.col("begin").alias("start")), "at")
+    at = at.select("skey", F.col("range").alias("cut_key"), (F.col("rest") - F.col("start")).alias("cut_words"))
     return materialize(sources.join(at, "skey", "left"), "cuts")
 
 
 def _sized(docs: DataFrame, m: Mix) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
-    return rows.withColumn("key", order_key(m)).withColumn("range", F.substring("key", 1, m.digits)).withColumn("skey", source_key())
+    """(doc_id, source, size, key, skey, row) of each row, written with its number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), order_key(m).alias("key"))
+    return materialize(rows.withColumn("skey", source_key()).withColumn("row", F.monotonically_increasing_id()), "sized")
+
+
+def _words_before(ties: DataFrame) -> DataFrame:
+    """Add to written rows (skey, size, row), all with their source's key at the cut, the words of those before them.
+
+    A row's number begins with the part of the table that it was written by; a
+    part is as large as one task, however many repeats there are.
+    """
+    parted = ties.withColumn("_part", F.shiftright("row", 33))
+    sums = parted.groupBy("skey", "_part").agg(F.sum("size").alias("_n"))
+    start = sums.select("skey", "_part", (F.sum("_n").over(Window.partitionBy("skey").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
+    here = Window.partitionBy("skey", "_part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    return parted.join(start, ["skey", "_part"]).withColumn("before", F.col("_start") + F.coalesce(F.sum("size").over(here), F.lit(0))).drop("_part", "_start")
 
 
 def plan_mix(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of docs (doc_id, text, source)."""
-    sized = materialize(_sized(docs, m), "sized")
-    at = small_or_none(cuts(sized, m).drop("source"), m.broadcast_sources)
-    own, cut = F.struct("key", F.coalesce("doc_id", F.lit(0))), F.struct(F.col("cut_key"), F.col("cut_id"))
-    part = F.when(F.col("cut_key").isNull() | (own > cut), 0).when(own == cut, F.col("cut_words")).otherwise(F.col("size"))
-    out = sized.join(at, "skey").withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    sized = _sized(docs, m)
+    rows = sized.join(small_or_none(cuts(sized, m).drop("source"), m.broadcast_sources), "skey")
+    at_cut = F.coalesce(F.col("key") == F.col("cut_key"), F.lit(False))
+    clear = rows.where(~at_cut).withColumn("part", F.when(F.col("key") < F.col("cut_key"), F.col("size")).otherwise(0))
+    ties = _words_before(rows.where(at_cut)).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut_words") - F.col("before"))))
+    out = [x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")) for x in (clear, ties)]
+    return out[0].unionByName(out[1])
 
 
 def mix(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
@@ -113,9 +132,14 @@ def mix(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
     The document at a source's cut is kept whole, so that a source has at most
     one document more than its budget.
     """
-    at = small_or_none(cuts(materialize(_sized(docs, m), "sized"), m).select(F.col("skey").alias("_mix_skey"), F.col("epochs").alias("_mix_epochs"), F.col("cut_key").alias("_mix_key"), F.col("cut_id").alias("_mix_id")), m.broadcast_sources)
-    own = F.struct(order_key(m), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    begun = F.col("_mix_epochs") + F.when(own <= F.struct("_mix_key", "_mix_id"), 1).otherwise(0)
-    rows = docs.withColumn("_mix_own", source_key()).join(at, F.col("_mix_own") == F.col("_mix_skey"))
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.greatest(begun, F.lit(0)).cast("int")))).where("_mix_copy > 0")
-    return rows.select(*docs.columns)
+    at = cuts(_sized(docs, m), m).select("skey", F.struct("epochs", "cut_key", "cut_words").alias("_mix_cut"))
+    at = small_or_none(at.withColumnRenamed("skey", "_mix_skey"), m.broadcast_sources)
+    rows = docs.withColumn("_mix_own", source_key()).withColumn("_mix_key", order_key(m)).join(at, F.col("_mix_own") == F.col("_mix_skey"))
+    at_cut = F.coalesce(F.col("_mix_key") == F.col("_mix_cut.cut_key"), F.lit(False))
+    begun = lambda more: F.greatest(F.lit(0), F.col("_mix_cut.epochs") + more.cast("int")).cast("int")
+    clear = rows.where(~at_cut).select(*docs.columns, begun(F.coalesce(F.col("_mix_key") < F.col("_mix_cut.cut_key"), F.lit(False))).alias("_mix_times"))
+    # the rows of one key are repeats of one id and text, one row as a rule; their own columns are kept in a struct, whatever their names
+    ties = rows.where(at_cut).select(F.struct(*docs.columns).alias("_mix_row"), "_mix_cut", F.col("_mix_own").alias("skey"), n_words().alias("size"), F.monotonically_increasing_id().alias("row"))
+    ties = _words_before(materialize(ties, "ties")).select("_mix_row.*", begun(F.col("before") < F.col("_mix_cut.cut_words")).alias("_mix_times"))
+    both = clear.unionByName(ties)
+    return both.where("_mix_times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

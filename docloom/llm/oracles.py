@@ -52,7 +52,7 @@ SELECT d.doc_id, license, round(dice, 6) AS dice, line::BIGINT AS line FROM docu
 """
 
 MIX = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
 w AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, source_size * 2::DOUBLE AS ceiling FROM s),
 f AS (SELECT *, ceiling / weight AS fill FROM w),
@@ -62,7 +62,7 @@ lv AS (SELECT arg_min(level, struct_pack(fill := fill, source := coalesce(source
 t AS (SELECT source, source_size, CASE WHEN v IS NULL OR ceiling <= v * weight THEN ceiling ELSE v * weight END AS target FROM l, lv),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END::BIGINT AS epochs FROM t),
 r AS (SELECT *, round(target - epochs * source_size)::BIGINT AS rest FROM e),
-c AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+c AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT doc_id, size, source_size, round(target, 4) AS target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
 FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
 """

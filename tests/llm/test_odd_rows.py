@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import audio, chat, decontam, licenses, mixing, neardup, pii, secrets, tokens, toxicity
+from docloom.llm.oracles import MIX
 from docloom.llm.queries import TOKENS
+from tests.compare import rows
 
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
 ROWS = [
@@ -50,8 +52,8 @@ def items(spark):
     return spark.createDataFrame([(1, "two three FOUR"), (2, None), (3, ""), (1, "two three FOUR"), (None, "single")], "item_id long, text string")
 
 
-def ids(rows):
-    return sorted((-1 if r.doc_id is None else r.doc_id) for r in rows)
+def ids(got):
+    return sorted((-1 if r.doc_id is None else r.doc_id) for r in got)
 
 
 ALL = sorted(-1 if r[0] is None else r[0] for r in ROWS)
@@ -76,6 +78,25 @@ def test_mixing(odd, none):
     assert mixing.mix(odd).columns == odd.columns
 
 
+def test_mixing_of_repeated_and_null_ids(spark, duck):
+    """Different texts under one id and under null, and many repeats of one row at a cut, against the SQL and the contract."""
+    words = lambda n: " ".join(["w"] * n)
+    own = [(None, words(n), "a") for n in (3, 40, 90)] + [(1, words(n), "a") for n in (5, 60, 60)] + [(2, words(7), "b")] * 400 + [(None, None, "b"), (3, words(11), None), (None, words(2), None)] + [(k, words(k % 9), "c") for k in range(4, 80)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string").repartition(7)
+    got = mixing.plan_mix(docs).toPandas()
+    assert len(got) == len(own) and (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 1
+    duck.register("odd_documents", docs.toPandas())
+    theirs = duck.sql(MIX.replace("FROM documents", "FROM odd_documents")).df()
+    got["target"] = got.target.round(4)
+    assert rows(got.drop(columns="source")) == rows(theirs)
+    mixed = mixing.mix(docs.withColumn("row", F.lit("x"))).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).toPandas()
+    for r in mixed.itertuples():
+        target = got[got.source == r.source].target.iloc[0] if r.source is not None else got[got.source.isna()].target.iloc[0]
+        assert target - 1 <= r.n <= target + 90
+
+
 def test_tokens(odd, none):
     manifest = tokens.write_shards(odd, TOKENS)
     got = tokens.read_shards(manifest).orderBy("start").collect()
