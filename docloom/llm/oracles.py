@@ -36,19 +36,22 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 _TEMPLATES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())
-_WORDS = r"string_split(trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+_WORDS = r"list_filter(string_split(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_GRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 LICENSES = f"""
-WITH t AS (SELECT license, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(license, body)),
-tb AS (SELECT DISTINCT license, w[i] AS x, w[i + 1] AS y FROM t, unnest(range(1, len(w))) u(i)),
-tn AS (SELECT *, count(*) OVER (PARTITION BY license) AS b FROM tb),
-units AS (SELECT doc_id, 0 AS line, text AS body FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, k, string_split(text, chr(10))[k] FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(k) WHERE len(string_split(text, chr(10))) > 1),
-uw AS (SELECT doc_id, line, {_WORDS} AS w FROM units),
-ub AS (SELECT DISTINCT doc_id, line, w[i] AS x, w[i + 1] AS y FROM uw, unnest(range(1, len(w))) u(i)),
-un AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS a FROM ub),
-m AS (SELECT doc_id, line, license, 2.0::DOUBLE * count(*) / (a + b) AS dice FROM un JOIN tn USING (x, y) GROUP BY doc_id, line, license, a, b),
-best AS (SELECT * FROM m WHERE dice >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license, line) = 1)
-SELECT d.doc_id, license, round(dice, 6) AS dice, line::BIGINT AS line FROM documents d LEFT JOIN best USING (doc_id)
+WITH t0 AS (SELECT license, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(license, body)),
+t AS (SELECT license, len(w) AS n_words, {_GRAMS} AS tg FROM t0),
+d AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)),
+l0 AS (SELECT doc_id, k AS line, {_WORDS} AS w FROM (SELECT doc_id, k, string_split(text, chr(10))[k] AS body FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(k))),
+l AS (SELECT doc_id, line, w, {_GRAMS} AS g, (sum(len(w)) OVER (PARTITION BY doc_id ORDER BY line) - len(w))::BIGINT AS start FROM l0 WHERE len(w) > 0),
+u AS (SELECT doc_id, 0 AS line, 0 AS last, w, NULL AS own FROM d
+  UNION ALL SELECT doc_id, line, line, w, NULL FROM l
+  UNION ALL SELECT x.doc_id, x.line, y.line, d.w[x.start + 1:y.start + len(y.w)], license FROM l x JOIN t ON list_has_any(x.g, tg) JOIN d ON d.doc_id = x.doc_id
+    JOIN l y ON y.doc_id = x.doc_id AND y.line > x.line AND least(x.start + n_words, len(d.w)) - 1 BETWEEN y.start AND y.start + len(y.w) - 1),
+ug AS (SELECT doc_id, line, last, own, {_GRAMS} AS g FROM u),
+m AS (SELECT doc_id, line, last, license, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM ug JOIN t ON own IS NULL OR own = license),
+best AS (SELECT * FROM m WHERE dice >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license, line, last) = 1)
+SELECT d.doc_id, license, round(dice, 6) AS dice, line::BIGINT AS line, last::BIGINT AS last FROM d LEFT JOIN best USING (doc_id)
 """
 
 MIX = r"""

@@ -311,9 +311,20 @@ def test_hysteresis():
 
 
 def test_license_bounds(spark):
-    docs = spark.createDataFrame([(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, licenses.TEMPLATES["MIT-text"].replace("Software", "SOFTWARE", 3)), (3, "Licensed under a licence")], "doc_id long, text string")
-    got = {r.doc_id: (r.license, r.line) for r in licenses.best_license(docs).collect()}
-    assert got == {1: ("Apache-2.0", 2), 2: ("MIT-text", 0), 3: (None, None)}
+    mit = licenses.TEMPLATES["MIT-text"]
+    wrapped = "\n".join(f"# {' '.join(mit.split()[k : k + 9])}" for k in range(0, len(mit.split()), 9))
+    header = licenses.TEMPLATES["Apache-2.0-header"].replace(". ", ".\n\n")
+    own = [
+        (1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, mit.replace("Software", "SOFTWARE", 3)), (3, "Licensed under a licence"),
+        (4, f"import os\n\nprint(1)\n{wrapped}\n\nmore code here\n" * 2), (5, f"/*\n * Copyright 2020\n{header}\n */\n" + "a b c d e f g\n" * 200), (6, "Released under\nthe MIT\nLicense.\n" + "other words\n" * 30),
+        (7, licenses.TEMPLATES["Unlicense-text"].upper()), (None, "hello there"), (None, "Licensed under CC BY 4.0."), (8, "hello"), (8, "Licensed under CC BY 4.0."),
+    ]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.license, r.line, r.last) for r in licenses.best_license(docs).collect()), key=str)
+    n = wrapped.count("\n") + 1
+    want = [(1, "Apache-2.0", 2, 2), (2, "MIT-text", 0, 0), (3, None, None, None), (4, "MIT-text", 4, 3 + n), (5, "Apache-2.0-header", 3, 7), (6, "MIT", 1, 3), (7, "Unlicense-text", 0, 0)]
+    want += [(None, None, None, None), (None, "CC-BY-4.0", 0, 0), (8, None, None, None), (8, "CC-BY-4.0", 0, 0)]
+    assert got == sorted(want, key=str)
 
 
 def test_pipeline_by_hand(spark):
