@@ -281,10 +281,10 @@ def test_tagger_learns_and_windows_agree():
 
 
 def test_network_adds_what_no_base_pattern_matches(spark):
-    """Held-out documents' spans written in other ways: recall above 0.85 and precision above 0.85 (0.95 and 0.97 when this was written)."""
+    """Held-out documents' spans written in other ways: recall and precision above 0.85."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")
     tagger, rng, p = pii.trained(docs), random.Random(1), pii.Pii()
-    held = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 16 = 1").collect()]
+    held = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 1").collect()]
     made = []
     for text in held:
         for start, rank, kind, stop in pii.base_spans(text):
