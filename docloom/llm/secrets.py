@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, small_or_none
 
 
 @dataclass(frozen=True)
@@ -75,11 +75,12 @@ def _matches(blobs: DataFrame, rule: Rule, rank: int) -> DataFrame:
     return each.select("blob", (F.col("stop") - F.col("m.size")).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), "stop")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE + MORE) -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE + MORE, broadcast_blobs: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Scan versions (path, version, content); return the new ledger and the findings.
 
     Ledger: (blob, rules, spans). Findings: (path, version, blob, spans) for each
-    row of versions, spans in order of start, then of the rules.
+    row of versions, spans in order of start, then of the rules. Up to
+    ``broadcast_blobs`` unseen blobs, which are counted, are broadcast.
     """
     addressed = versions.select("path", "version", F.coalesce("content", F.lit("")).alias("content")).withColumn("blob", address(F.col("content")))
     names = F.array(*[F.lit(r.name) for r in rules])
@@ -90,10 +91,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         known = ledger.select(F.col("blob").alias("_blob"), F.col("rules").alias("_rules"))
         copies = copies.join(known, "_blob", "left").withColumn("todo", F.array_except(names, F.coalesce("_rules", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("_rules")
     copies = materialize(copies, "unseen")
+    few = small_or_none(copies, broadcast_blobs)
     same = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
     hinted = reduce(lambda a, b: a | b, [F.col("content").rlike(r.hint or r.pattern) for r in rules])
-    once = addressed.where(hinted).dropDuplicates(["path", "version", "blob"])  # repeated rows would give their blob twice
-    blobs = materialize(once.join(copies.hint("shuffle_hash"), same).select("blob", "content", "todo"), "blobs")
+    asked = reduce(lambda a, b: a | b, [F.array_contains("todo", r.name) & F.col("content").rlike(r.hint or r.pattern) for r in rules])
+    # few unseen blobs choose the rows whose content is read; many are joined after the rules' hints have thinned out the contents
+    once = addressed if few is not copies else addressed.where(hinted)
+    once = once.join(few, same).where(asked).select("blob", "content", "todo").dropDuplicates(["blob"])  # repeated rows would give their blob twice
+    blobs = materialize(once, "blobs")
     found = reduce(DataFrame.unionByName, [_matches(blobs, r, k) for k, r in enumerate(rules)]).distinct()
     spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop"))).cast(SPAN).alias("spans"))
     new = copies.select(F.col("_blob").alias("blob"), F.col("todo").alias("rules")).join(spans, "blob", "left")
