@@ -41,7 +41,7 @@ from docloom.operators.components import components
 class NearDup:
     """Parameters of the join; ``percent`` is the least Jaccard similarity."""
 
-    shingle: int = 2
+    shingle: int = 5
     percent: int = 80
     hashes: int = 64
     chunks: int = 13

@@ -60,7 +60,7 @@ ALL = sorted(-1 if r[0] is None else r[0] for r in ROWS)
 
 
 def test_near_duplicates(odd, none):
-    got = neardup.near_duplicates(odd).collect()
+    got = neardup.near_duplicates(odd, neardup.NearDup(shingle=2)).collect()
     assert ids(got) == ALL
     for r in got:
         assert (r.component_id, r.kept) == ((None, True) if r.doc_id is None else (r.doc_id, True))
@@ -186,9 +186,24 @@ def test_chat(spark):
     got = chat.rotate(turns).collect()
     mine = [r for r in got if r.conv_id == 1]
     assert len(mine) == 10 and len(got) == 11
-    ann = {(r.turn, r.role, r.name, r.segment[r.mask_start : r.mask_stop]) for r in mine if r.perspective == "ann"}
+    ann = {(r.turn, r.role, r.name, r.segment[r.mask_start - r.start : r.mask_stop - r.start]) for r in mine if r.perspective == "ann"}
     assert ann == {(0, "system", None, ""), (1, "assistant", None, "hi < |end|><|end|>\n"), (2, "user", "bob", ""), (3, "user", None, "")}
     assert chat.rotate(turns.limit(0)).count() == 0
+    for most in (1_000_000, 20):
+        whole = chat.dialogues(chat.rotate(turns), most).orderBy("conv_id", "perspective", "part").collect()
+        for who in ("ann", "bob"):
+            parts = [r for r in whole if (r.conv_id, r.perspective) == (1, who)]
+            text = "".join(r.text for r in parts)
+            assert (len(parts) == 1) == (most > 20) and [r.start for r in parts] == [sum(len(x.text) for x in parts[:k]) for k in range(len(parts))]
+            assert [text[m.start : m.stop] for r in parts for m in r.masks] == {"ann": ["hi < |end|><|end|>\n"], "bob": ["<|end|>\n"] * 2}[who]
+            assert text == "".join(r.segment for r in sorted(mine, key=lambda r: r.start) if r.perspective == who)
+    assert chat.dialogues(chat.rotate(turns.limit(0))).count() == 0
+
+
+def test_chat_places_over_blocks(spark):
+    turns = spark.range(0, 1000).selectExpr("1L AS conv_id", "id * 7 % 1000 AS turn", "if(id % 3 = 0, 'a', 'b') AS role", "repeat('x', CAST(id % 11 AS INT)) AS text")
+    got = sorted((r.start, r.turn, len(r.segment)) for r in chat.rotate(turns).where("perspective = 'a'").collect())
+    assert [t for _, t, _ in got] == list(range(1000)) and [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(1000)]
 
 
 def test_stages_keep_columns_and_stand_empty_tables(spark, odd, none, labels, items, tmp_path):

@@ -44,9 +44,9 @@ def test_word_hashes_follow_the_words():
         assert len(set(seen.values())) == len(seen)
 
 
-def exact_components(docs: dict[int, str], percent: int) -> dict[int, int]:
+def exact_components(docs: dict[int, str], percent: int, width: int = 5) -> dict[int, int]:
     hasher, parent = WordHasher(SPACED), {d: d for d in docs}
-    sets = {d: set(shingle_hashes(hasher.words(t.encode()), 2).tolist()) for d, t in docs.items()}
+    sets = {d: set(shingle_hashes(hasher.words(t.encode()), width).tolist()) for d, t in docs.items()}
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -73,8 +73,9 @@ def test_near_duplicates_of_drifting_copies(spark):
                 words[rng.randrange(120)] = f"z{rng.randint(0, 10**6)}"
             docs[len(docs)] = " ".join(words)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
-    assert got == exact_components(docs, 80)
+    for width in (2, 5):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, neardup.NearDup(shingle=width)).collect()}
+        assert got == exact_components(docs, 80, width)
 
 
 def test_chunk_keys_meet_within_the_distance():
@@ -227,6 +228,8 @@ def test_ledger_scans_only_what_is_new(spark):
     kinds = {r.path: [s.kind for s in r.spans] for r in found.collect()}
     assert kinds == {"a": ["kept"], "b": [], "c": ["kept"], "d": ["access"]}
     newer, found = secrets.scan(more, after, rules=secrets.BASE + secrets.MORE)
+    by_shuffle, _ = secrets.scan(more, after, rules=secrets.BASE + secrets.MORE, broadcast_blobs=0)
+    assert sorted(map(str, newer.collect())) == sorted(map(str, by_shuffle.collect()))
     assert {len(r["rules"]) for r in newer.collect()} == {6} and {r.path: [s.kind for s in r.spans] for r in found.collect()} == kinds
 
 
