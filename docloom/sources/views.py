@@ -85,6 +85,42 @@ def llm_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.expr("conv_id * 1000 + turn").alias("id"), "conv_id", "turn", F.expr(text).alias("output"))
 
 
+_ANSWERS = {
+    "triple_outputs": r"""concat('[{"subject": " Topic ', conv_id % 37, ' ", "predicate": "', element_at(array('is_a', 'CO_OCCURS', 'LIKES', 'part_of'), CAST(turn % 4 + 1 AS INT)), '", "object": "Topic ', turn % 11, '", "confidence": ', element_at(array('1.7', 'null', '0.456', '-1', '"0.3"'), CAST(turn % 5 + 1 AS INT)), ', "reason": "', {0}, '"}, {"subject": "", "predicate": "IS_A", "object": "x"}, {"subject": "Topic ', turn % 7, '", "predicate": "enables", "object": "Topic ', conv_id % 5, '"}]')""",
+    "relation_outputs": r"""concat('[{"source": "T', turn, '", "target": " T', turn - 1, '", "type": "Parent"}, {"source": "T', turn, '", "target": "T', turn, '", "type": "child"}, {"source": "T', turn, '", "target": "T999", "type": "x"}, {"source": "T', turn - 1, '", "target": "T', turn, '", "type": "', {0}, '"}]')""",
+    "group_outputs": r"""concat('[{"canonical": " ', {0}, ' ", "members": ["a', conv_id, '", " b ", ""]}, {"canonical": "x", "members": ["one", " "]}, {"canonical": "y', turn, '", "members": ["p", "q", "r"]}]')""",
+}
+_CLEAN = r"""replace(replace(replace(substring(text, 1, CAST(20 + turn AS INT)), '\\', ' '), '"', ''), '\n', ' ')"""
+
+
+def _answers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(conv_id, turn, output): answers of a model to each assistant's turn, fenced, bare or in a sentence."""
+    body = _ANSWERS[name].replace("{0}", _CLEAN)
+    text = rf"""CASE conv_id % 3 WHEN 0 THEN concat('Here:\n```json\n', {body}, '\n```\n') WHEN 1 THEN {body} ELSE concat('Sure. ', {body}, ' Done.') END"""
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.expr(text).alias("output"))
+
+
+def triple_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with statements, some without parts, with unknown predicates, or with odd confidences."""
+    return _answers(spark, sf_dir, "triple_outputs")
+
+
+def relation_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with relations, some to themselves, to unknown concepts, or of unknown types."""
+    return _answers(spark, sf_dir, "relation_outputs")
+
+
+def group_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with groups, some of one member."""
+    return _answers(spark, sf_dir, "group_outputs")
+
+
+def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """md_docs, half of them with a section of related concepts, some of these with a section after it."""
+    more = r"""CASE WHEN doc_id % 2 = 0 THEN concat(content, '\n## 관련 개념\n\n- [[Doc_', (3 * doc_id + 1) % 90, ']]\n- [[Doc_', doc_id % 17, ']] — x\n', if(doc_id % 4 = 0, '\n## 출처\n\n- x\n', '')) ELSE content END AS content"""
+    return md_docs(spark, sf_dir).selectExpr("doc_id", "slug", more)
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, member, team, action, detail) from events."""
     return table(spark, sf_dir, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS member", "user_id % 5 AS team", "event_type AS action", "props AS detail")
@@ -126,6 +162,15 @@ DUCK = {
 }
 
 
+def _duck_answers(name: str) -> str:
+    body = _ANSWERS[name].replace("{0}", "replace(replace(replace(substring(text, 1, (20 + turn)::INT), '\\', ' '), '\"', ''), chr(10), ' ')").replace("element_at(array(", "list_extract(list_value(")
+    return f"""{name} AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || b || chr(10) || '```' || chr(10) WHEN 1 THEN b ELSE 'Sure. ' || b || ' Done.' END AS output FROM (SELECT conv_id, turn, {body} AS b FROM conversations WHERE role = 'assistant'))"""
+
+
+DUCK |= {name: _duck_answers(name) for name in _ANSWERS}
+DUCK["wiki_pages"] = """wiki_pages AS (SELECT doc_id, slug, CASE WHEN doc_id % 2 = 0 THEN content || chr(10) || '## 관련 개념' || chr(10) || chr(10) || '- [[Doc_' || ((3 * doc_id + 1) % 90) || ']]' || chr(10) || '- [[Doc_' || (doc_id % 17) || ']] — x' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '## 출처' || chr(10) || chr(10) || '- x' || chr(10) ELSE '' END ELSE content END AS content FROM md_docs)"""
+
+
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """DuckDB text with views in front."""
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(DUCK[n] for n in names)} {sql}" if not sql.lstrip().startswith(",") else f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(DUCK[n] for n in names)}{sql}"
