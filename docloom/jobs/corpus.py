@@ -185,10 +185,18 @@ def backlinks_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.missing_backlinks(_pages(spark, sf_dir))
 
 
-@query(with_views(f", {_LINKS}, k AS (SELECT slug FROM md_docs WHERE doc_id % 5 <> 0), d AS (SELECT DISTINCT slug, target FROM li WHERE slug IN (SELECT slug FROM k)) SELECT target, count(*) AS n_files, string_agg(slug, ',' ORDER BY slug) AS files FROM d WHERE target NOT IN (SELECT slug FROM k) GROUP BY target", "md_docs"))
+#: Every fifth page names a page that isn't there.
+_LOST = "d AS (SELECT doc_id, slug, CASE WHEN doc_id % 5 = 0 THEN replace(content, 'See [[Doc ', 'See [[Lost ' || doc_id % 7 || ' ') ELSE content END AS content FROM md_docs)"
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = F.replace("content", F.lit("See [[Doc "), F.concat(F.lit("See [[Lost "), F.col("doc_id") % 7, F.lit(" ")))
+    return _pages(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 5 == 0, lost).otherwise(F.col("content")))
+
+
+@query(with_views(f", {_LOST}, {_LINKS.replace('md_docs', 'd')}, e AS (SELECT DISTINCT slug, target FROM li) SELECT target, count(*) AS n_files, string_agg(slug, ',' ORDER BY slug) AS files FROM e WHERE target NOT IN (SELECT slug FROM d) GROUP BY target", "md_docs"))
 def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose fifth are missing."""
-    return links.unresolved(_pages(spark, sf_dir).where("doc_id % 5 <> 0"))
+    return links.unresolved(_damaged(spark, sf_dir))
 
 
 @query(with_views("SELECT source_file AS source, count(*) AS n, min(slug) AS first, max(slug) AS last FROM concepts GROUP BY source_file", "concepts"))
@@ -244,11 +252,11 @@ def graph_export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.export_nodes(_pages(spark, sf_dir))
 
 
-@query(with_views(f", {_LINKS}, d AS (SELECT doc_id, slug, CASE WHEN doc_id % 9 = 0 THEN regexp_replace(content, '^---', '') WHEN doc_id % 9 = 1 THEN replace(content, ']].', '].') ELSE content END AS content FROM md_docs WHERE doc_id % 4 <> 0), {_LINKS.replace('li AS', 'lj AS').replace('md_docs', 'd')} SELECT 'front_matter' AS rule, slug FROM d WHERE doc_id % 9 = 0 UNION ALL SELECT 'unclosed_link', slug FROM d WHERE doc_id % 9 = 1 UNION ALL SELECT DISTINCT 'unresolved_link', slug FROM lj WHERE target NOT IN (SELECT slug FROM d)", "md_docs"))
+@query(with_views(f", {_LOST}, q AS (SELECT doc_id, slug, CASE WHEN doc_id % 9 = 0 THEN regexp_replace(content, '^---', '') WHEN doc_id % 9 = 1 THEN replace(content, ']].', '].') ELSE content END AS content FROM d), {_LINKS.replace('md_docs', 'q')} SELECT 'front_matter' AS rule, slug FROM q WHERE doc_id % 9 = 0 UNION ALL SELECT 'unclosed_link', slug FROM q WHERE doc_id % 9 = 1 UNION ALL SELECT DISTINCT 'unresolved_link', slug FROM li WHERE target NOT IN (SELECT slug FROM q)", "md_docs"))
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of which some are missing or damaged."""
+    """Pages of which some are damaged."""
     c = F.when(F.col("doc_id") % 9 == 0, F.regexp_replace("content", "^---", "")).when(F.col("doc_id") % 9 == 1, F.replace("content", F.lit("]]."), F.lit("]."))).otherwise(F.col("content"))
-    return links.quality(_pages(spark, sf_dir).where("doc_id % 4 <> 0").withColumn("content", c))
+    return links.quality(_damaged(spark, sf_dir).withColumn("content", c))
 
 
 @query(with_views("SELECT row_number() OVER (ORDER BY name) AS pos, name, '- [[' || name || ']] — ' || regexp_extract(summary, '^([^.]*)', 1) AS line FROM concepts", "concepts"))
@@ -283,6 +291,17 @@ def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(_docs(spark, sf_dir), "de: men*")
 
 
+@query(_bm25(["the", "and", "from"]))
+def search_stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings are written in order of term, then read for the query's terms only."""
+    return search.bm25_stored(spark, search.write_index(_docs(spark, sf_dir)), "The and FROM")
+
+
+@query(_bm25(["de", "men"]))
+def search_stored_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25_stored(spark, search.write_index(_docs(spark, sf_dir)), "de: men*")
+
+
 @query("SELECT doc_id, substring(text, greatest(instr(lower(text), 'licen') - 60, 1), instr(lower(text), 'licen') - greatest(instr(lower(text), 'licen') - 60, 1) + 65) AS snippet FROM documents WHERE contains(lower(text), 'licen') ORDER BY doc_id LIMIT 20")
 def search_substring_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.substring(_docs(spark, sf_dir), "Licen")
@@ -309,9 +328,15 @@ def list_concepts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Contexts
 
 QUESTION = "What is the relation of eau and ung in en src7?"
-_WORDS = fx.question_words(QUESTION)
-_SCORE = "(" + " + ".join(f"(CASE WHEN contains(replace(stem, '_', ' '), '{w}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in _WORDS) + f") / {len(_WORDS)}::DOUBLE"
-_SCORED = f"d AS (SELECT doc_id, text, lower(lang || '_' || source) AS stem FROM documents), sc AS (SELECT doc_id, text, stem, {_SCORE} AS score FROM d)"
+
+
+def _scored(question: str) -> str:
+    words = fx.question_words(question)
+    score = "(" + " + ".join(f"(CASE WHEN contains(replace(stem, '_', ' '), '{w}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in words) + f") / {len(words)}::DOUBLE"
+    return f"SELECT doc_id, text, stem, {score} AS score FROM (SELECT doc_id, text, lower(lang || '_' || source) AS stem FROM documents)"
+
+
+_SCORED = f"sc AS ({_scored(QUESTION)})"
 
 
 def _stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,11 +354,15 @@ def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("score"), "doc_id").limit(25).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _fold(name: str, source: str, body: str, budget: int) -> str:
+    """Common tables of a greedy choice: NAME has a row for each document that was looked at."""
+    return f"""{name}r AS (SELECT doc_id, score, {_TOKENS.format(body)} AS tokens, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM ({source}) WHERE score > 0),
+    {name} AS (SELECT 0::BIGINT AS n, {budget}::BIGINT AS remaining, NULL::BIGINT AS doc_id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens, false AS used
+      UNION ALL SELECT r.n, CASE WHEN r.tokens <= g.remaining THEN g.remaining - r.tokens ELSE g.remaining END, r.doc_id, r.score, r.tokens, r.tokens <= g.remaining FROM {name} g JOIN {name}r r ON r.n = g.n + 1 WHERE g.remaining > 0)"""
+
+
 def _greedy(body: str, budget: int) -> str:
-    return f"""WITH RECURSIVE {_SCORED}, r AS (SELECT doc_id, score, {_TOKENS.format(body)} AS tokens, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM sc WHERE score > 0),
-    g AS (SELECT 0::BIGINT AS n, {budget}::BIGINT AS remaining, NULL::BIGINT AS doc_id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens, false AS used
-      UNION ALL SELECT r.n, CASE WHEN r.tokens <= g.remaining THEN g.remaining - r.tokens ELSE g.remaining END, r.doc_id, r.score, r.tokens, r.tokens <= g.remaining FROM g JOIN r ON r.n = g.n + 1 WHERE g.remaining > 0)
-    SELECT doc_id, round(score, 6) AS score, tokens, remaining FROM g WHERE used"""
+    return f"WITH RECURSIVE {_fold('g', _scored(QUESTION), body, budget)} SELECT doc_id, round(score, 6) AS score, tokens, remaining FROM g WHERE used"
 
 
 @query(_greedy("text", 8500))
@@ -347,14 +376,21 @@ def context_first_para(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.context(_stemmed(spark, sf_dir), QUESTION, 2000, F.split("text", "\n")[0])
 
 
-@query()
+_BODIES = ("text", "string_split(text, chr(10))[1]", "stem")
+_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, count(*) AS n_used, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM l{k} WHERE used" for k in range(3))
+
+
+@query(f"WITH RECURSIVE {', '.join(_fold(f'l{k}', _scored(QUESTION), body, 8500) for k, body in enumerate(_BODIES))}, n AS (SELECT count(*) AS n_scored FROM l0r), v AS ({_LEVELS}) SELECT level, n_scored, n_used, tokens FROM v, n WHERE level <= coalesce((SELECT min(level) FROM v, n WHERE n_used = n_scored), 2)")
 def fallback_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.levels(_stemmed(spark, sf_dir), QUESTION, SMALL.available, F.split("text", "\n")[0])
 
 
-@query()
+PARTS = ("relation of eau", "ung in src7")
+
+
+@query(f"WITH RECURSIVE {', '.join(_fold(f'q{k}', _scored(q), 'text', 4000) for k, q in enumerate(PARTS))} SELECT doc_id, count(*) AS n_questions FROM ({' UNION ALL '.join(f'SELECT doc_id FROM q{k} WHERE used' for k in range(len(PARTS)))}) GROUP BY doc_id")
 def context_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.decomposed(_stemmed(spark, sf_dir), ["relation of eau", "ung in src7"], 4000)
+    return context.decomposed(_stemmed(spark, sf_dir), list(PARTS), 4000)
 
 
 @query("WITH g AS (SELECT DISTINCT lower(p_type) AS gap FROM part), e AS (SELECT DISTINCT lower(p_type) AS t FROM part WHERE p_size < 3) SELECT gap FROM g WHERE gap NOT IN (SELECT t FROM e)")

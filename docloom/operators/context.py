@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import estimate_tokens, question_words, relevance
+from docloom.session import materialize
 
 
 def scored(docs: DataFrame, question: str, text: Column, stem: Column) -> DataFrame:
@@ -20,8 +21,9 @@ def greedy(rows: DataFrame, budget: int, batch: int = 1000) -> DataFrame:
     A row is taken if its own tokens fit what is left, and scanning goes on
     after one that doesn't. Every taken row has at least one token, so at most
     ``budget`` rows are ever held here; candidates come in batches of the best
-    that still fit, which a distributed top-k finds.
+    that still fit, which a distributed top-k finds over the written rows.
     """
+    rows = materialize(rows.select("id", "rank", "tokens"), "candidates")
     left, taken, last = budget, [], None
     while left > 0:
         fit = rows.where(F.col("tokens") <= left)
@@ -54,10 +56,12 @@ def context(docs: DataFrame, question: str, budget: int, body: Column | None = N
 def levels(docs: DataFrame, question: str, budget: int, first: Column) -> DataFrame:
     """(level, n_scored, n_used, tokens): whole texts, then first paragraphs, up to the level that skips nothing."""
     rows = scored(docs, question, F.col("text"), F.col("stem")).where("score > 0")
+    bodies = (F.col("text"), first, F.col("stem"))
+    rows = materialize(rows.select(F.col("doc_id").alias("id"), (-F.col("score")).alias("rank"), *[estimate_tokens(b).alias(f"t{k}") for k, b in enumerate(bodies)]), "scored")
     n = rows.count()
     out = []
-    for level, body in enumerate((F.col("text"), first, F.col("stem"))):
-        used = greedy(rows.select(F.col("doc_id").alias("id"), (-F.col("score")).alias("rank"), estimate_tokens(body).alias("tokens")), budget).agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
+    for level in range(len(bodies)):
+        used = greedy(rows.select("id", "rank", F.col(f"t{level}").alias("tokens")), budget).agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
         out.append((level, n, used["n"], used["t"]))
         if used["n"] == n:
             break

@@ -51,6 +51,7 @@ def reach(e: DataFrame, predicates: list[str], depth: int, least: int = 1, start
     step = e.where(F.col("predicate").isin(*predicates)).select("src", "dst").distinct()
     if undirected:
         step = step.union(step.select("dst", "src")).distinct()
+    step = materialize(step, "steps")  # each hop reads it
     at = step.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     if starts is not None:
         at = at.join(starts, "start", "left_semi")

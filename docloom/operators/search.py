@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import scratch
+
 K1, B = 1.2, 0.75
 
 
@@ -40,11 +42,46 @@ def bm25(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     counted = words.select("doc_id", F.size("w").cast("double").alias("len"), *[hits(k).alias(f"f{k}") for k in range(len(asked))])
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{k}") > 0).cast("double")).alias(f"df{k}") for k in range(len(asked))])
     rows = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(asked)))).crossJoin(F.broadcast(stats))  # stats is one row
+    return rows.select("doc_id", F.round(_score(len(asked)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
+def _score(n_terms: int) -> Column:
+    """The score of rows with f0.., df0.., len, n and avg."""
     score = F.lit(0.0)
-    for k in range(len(asked)):
+    for k in range(n_terms):
         idf = F.ln(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
         score = score + idf * F.col(f"f{k}") * (K1 + 1) / (F.col(f"f{k}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+    return score
+
+
+def write_index(docs: DataFrame, folder: str | None = None) -> str:
+    """Write an index of docs (doc_id, text) and return its folder: postings in order of term, lengths, and one row of statistics.
+
+    Files and row groups hold ranges of terms, so a filter on terms reads only
+    theirs; a frequent term's postings are cut by doc_id.
+    """
+    folder = folder or scratch(docs.sparkSession, "index")
+    postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+    docs.select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("len")).write.parquet(f"{folder}/lengths")
+    lengths = docs.sparkSession.read.schema("doc_id long, len long").parquet(f"{folder}/lengths")
+    lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg")).write.parquet(f"{folder}/stats")
+    return folder
+
+
+def bm25_stored(spark: SparkSession, folder: str, query: str, limit: int = 20) -> DataFrame:
+    """As ``bm25``, from a written index: only the query's terms are read, and lengths of the documents that have all of them."""
+    asked = query_terms(query)
+    if not asked:
+        return spark.createDataFrame([], "doc_id long, score double")
+    stored = spark.read.schema("term string, doc_id long, tf long").parquet(f"{folder}/postings")
+    both = spark.read.schema("n double, avg double").parquet(f"{folder}/stats")
+    found = None
+    for k, word in enumerate(asked):
+        own = stored.where(F.col("term").startswith(word) if k == len(asked) - 1 else F.col("term") == word).groupBy("doc_id").agg(F.sum("tf").cast("double").alias(f"f{k}"))
+        both = both.crossJoin(own.agg(F.count("*").cast("double").alias(f"df{k}")))  # one row each
+        found = own if found is None else found.join(own, "doc_id")
+    rows = found.join(spark.read.schema("doc_id long, len long").parquet(f"{folder}/lengths"), "doc_id").crossJoin(F.broadcast(both))  # both is one row
+    return rows.select("doc_id", F.round(_score(len(asked)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def substring(docs: DataFrame, query: str, limit: int = 20, around: int = 60) -> DataFrame:

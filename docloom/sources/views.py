@@ -38,9 +38,9 @@ _TRIPLES = [
     "SELECT concat('part ', p_partkey), 'IS_A', p_type, 0.8D, '', 200000000 + p_partkey FROM part",
     "SELECT DISTINCT p_type, 'IS_A', concat('class ', substring(p_type, 1, 1)), 0.7D, '', 300000000 FROM part",
     "SELECT concat('customer ', c_custkey), 'BELONGS_TO', c_mktsegment, 0.6D, '', 400000000 + c_custkey FROM customer",
-    # suppliers that follow each other among those of a part
+    # suppliers of a team of seven that follow each other among those of a part
     """SELECT concat('supplier ', a), 'CO_OCCURS', concat('supplier ', b), round(count(*) / 100.0D, 2), '', 500000000 + max(p) FROM
-       (SELECT l_partkey AS p, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 7 <> 0)) WHERE b IS NOT NULL AND b - a = 1 GROUP BY a, b""",
+       (SELECT l_partkey AS p, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_partkey, floor(l_suppkey / 7) ORDER BY l_suppkey) AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) WHERE b IS NOT NULL AND b - a = 1 GROUP BY a, b""",
     "SELECT concat('part ', p_partkey), 'ENABLES', concat('part ', (2 * p_partkey + 1) % 997 + 1), 0.5D, '', 600000000 + p_partkey FROM part WHERE p_partkey % 3 = 0",
     "SELECT concat('part ', p_partkey), 'REQUIRES', concat('part ', (5 * p_partkey) % 991 + 1), 0.5D, '', 700000000 + p_partkey FROM part WHERE p_partkey % 4 = 0",
     "SELECT concat('part ', p_partkey), 'PRECEDES', concat('part ', p_partkey + 1), 0.5D, '', 800000000 + p_partkey FROM part WHERE p_partkey % 5 <> 0",
