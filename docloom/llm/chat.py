@@ -6,7 +6,7 @@ loss mask covers what the assistant says, with its closing mark. A row is one
 turn of one perspective, with its place in the rendered dialogue, so a conversation
 of any length needs no task of its own: places are prefix sums over blocks of turns,
 then within a block. ``dialogues`` puts the segments together, in parts of a bounded
-length. Turns stand in the order of turn, then of role and text, nulls first.
+length. Turns stand in the order of turn, then of role and segment, nulls first.
 
 Marks in a text are broken up, so a turn can't forge another. Nulls and empties:
 a null or empty text is an empty turn; a null role is a user without a name and
@@ -44,14 +44,16 @@ def rotate(turns: DataFrame, system_roles: tuple[str, ...] = ("system",)) -> Dat
     role = F.when(own, "assistant").when(F.coalesce(is_system, F.lit(False)), "system").otherwise("user")
     each = each.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
     head = F.concat(F.lit("<|"), F.col("role"), F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), _clean(F.col("name")))).otherwise(""), F.lit("|>\n"))
-    each = each.withColumn("segment", F.concat(head, _clean(F.col("text")), F.lit(CLOSE))).withColumn("_head", F.length(head)).withColumn("_size", F.length("segment").cast("long")).withColumn("_block", F.floor(F.col("turn") / BLOCK))
-
-    sums = each.groupBy("conv_id", "perspective", "_block").agg(F.sum("_size").alias("_n"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select(F.col("conv_id").alias("_c"), F.col("perspective").alias("_p"), F.col("_block").alias("_b"), (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-    placed = each.join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & F.col("_block").eqNullSafe(F.col("_b")))
-    here = Window.partitionBy("conv_id", "perspective", "_block").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "speaker", "text")]).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("start", (F.col("_before") + F.sum("_size").over(here) - F.col("_size")).cast("long"))
+    each = each.withColumn("segment", F.concat(head, _clean(F.col("text")), F.lit(CLOSE)))
+    # keys without nulls, so that the join's partitions serve the window too
+    key = {"_c": F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("n")), "_b": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 63)))}
+    each = each.select("conv_id", "perspective", "turn", "speaker", "role", "name", "segment", F.length(head).alias("_head"), F.length("segment").cast("long").alias("_size"), *[v.alias(k) for k, v in key.items()])
+
+    sums = each.groupBy("_c", "perspective", "_b").agg(F.sum("_size").alias("_n"))
+    before = Window.partitionBy("_c", "perspective").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("_c", "perspective", "_b", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    here = Window.partitionBy("_c", "perspective", "_b").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "speaker", "segment")]).rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.join(sums, ["_c", "perspective", "_b"]).withColumn("start", (F.col("_before") + F.sum("_size").over(here) - F.col("_size")).cast("long"))
     stop = F.col("start") + F.col("_size")
     mask = F.when(F.col("role") == "assistant", F.col("start") + F.col("_head")).otherwise(stop)
     return placed.select("conv_id", "perspective", "turn", "role", "name", "segment", "start", mask.alias("mask_start"), stop.alias("mask_stop"))

@@ -84,13 +84,13 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 PERSPECTIVES = """
-WITH t AS (SELECT conv_id, turn, role AS speaker, text AS raw, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+WITH t AS (SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker <> 'system'),
-e AS (SELECT t.conv_id, perspective, turn, speaker, raw, body, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+e AS (SELECT t.conv_id, perspective, turn, speaker, body, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
   CASE WHEN speaker = perspective OR speaker = 'system' THEN NULL ELSE speaker END AS name FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, '<|' || role || coalesce(' name=' || replace(name, '<|', '< |'), '') || '|>' || chr(10) AS head FROM e),
 g0 AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM h),
-g AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, raw NULLS FIRST ROWS UNBOUNDED PRECEDING) - length(segment))::BIGINT AS start FROM g0)
+g AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, segment ROWS UNBOUNDED PRECEDING) - length(segment))::BIGINT AS start FROM g0)
 SELECT conv_id, perspective, turn, role, name, segment, start, start + CASE WHEN role = 'assistant' THEN length(head) ELSE length(segment) END AS mask_start, start + length(segment) AS mask_stop FROM g
 """
 
