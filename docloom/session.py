@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_WITHIN: ContextVar[str | None] = ContextVar("within", default=None)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -43,12 +47,25 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nobody has used."""
-    return f"{shared_root(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+    return f"{_WITHIN.get() or shared_root(spark) + '/docloom'}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch paths within goes at the end; results that are to stay are written to a path taken before."""
+    folder = scratch(spark, "temporary")
+    token = _WITHIN.set(folder)
+    try:
+        yield
+    finally:
+        _WITHIN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again, so that nothing before it is computed twice or lost with an executor."""
     spark = df.sparkSession
-    path = scratch(spark, label)
+    path = path or scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,56 +12,111 @@ from pyspark.sql import types as T
 
 
 class _Text(HTMLParser):
-    """Text of a page as Markdown: headings, paragraphs, list items, links and images; no scripts, styles or navigation."""
+    """Text of a page as Markdown: headings, paragraphs, list items, tables, links and images; no scripts, styles or navigation."""
 
     SKIP = {"script", "style", "nav", "noscript", "template"}
     BREAK = {"p", "div", "br", "article", "section", "ul", "ol", "table", "tr", "body", "main", "footer", "header"}
+    CELL = {"td", "th"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.skip = 0
         self.href: list[str] = []
+        self.tables = 0
+        self.rows = 0
+        self.cells: list[str] = []
+        self.cell: int | None = None  # where the open cell's text begins
+
+    def _end_cell(self) -> None:
+        if self.cell is not None:
+            text = " ".join("".join(self.out[self.cell :]).split())
+            del self.out[self.cell :]
+            self.cells.append(text.replace("|", "\\|"))
+            self.cell = None
+
+    def _end_row(self) -> None:
+        self._end_cell()
+        if self.cells:
+            self.out.append("\n| " + " | ".join(self.cells) + " |\n")
+            if not self.rows:
+                self.out.append("|" + "---|" * len(self.cells) + "\n")
+            self.rows += 1
+            self.cells = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip += 1
-        elif not self.skip:
-            if tag in self.BREAK:
-                self.out.append("\n")
-            elif re.fullmatch("h[1-6]", tag):
-                self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-            elif tag == "li":
-                self.out.append("\n- ")
-            elif tag == "a":
-                self.href.append(dict(attrs).get("href") or "")
-                self.out.append("[")
-            elif tag == "img":
-                a = dict(attrs)
-                self.out.append(f"![{a.get('alt') or ''}]({a.get('src') or ''})")
+            return
+        if self.skip:
+            return
+        # a table within a cell is the cell's text
+        if tag == "table":
+            self.tables += 1
+            self.rows = 0 if self.tables == 1 else self.rows
+        elif self.tables == 1 and tag == "tr":
+            self._end_row()
+        elif self.tables == 1 and tag in self.CELL:
+            self._end_cell()
+            self.cell = len(self.out)
+        if tag in self.BREAK or (tag in self.CELL and self.tables > 1):
+            self.out.append("\n")
+        elif re.fullmatch("h[1-6]", tag):
+            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+        elif tag == "li":
+            self.out.append("\n- ")
+        elif tag == "a":
+            self.href.append(dict(attrs).get("href") or "")
+            self.out.append("[")
+        elif tag == "img":
+            a = dict(attrs)
+            self.out.append(f"![{a.get('alt') or ''}]({a.get('src') or ''})")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        elif not self.skip:
-            if tag == "a" and self.href:
-                self.out.append(f"]({self.href.pop()})")
-            elif tag in self.BREAK or re.fullmatch("h[1-6]", tag):
-                self.out.append("\n")
+            return
+        if self.skip:
+            return
+        if tag == "a" and self.href:
+            self.out.append(f"]({self.href.pop()})")
+        elif self.tables == 1 and tag in self.CELL:
+            self._end_cell()
+        elif self.tables == 1 and tag in ("tr", "table"):
+            self._end_row()
+        if tag == "table":
+            self.tables = max(0, self.tables - 1)
+        if tag in self.BREAK or re.fullmatch("h[1-6]", tag):
+            self.out.append("\n")
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.out.append(re.sub(r"\s+", " ", data))
 
+    def close(self) -> None:
+        super().close()
+        self._end_row()
 
-def html_to_markdown(html: str | None) -> str:
-    """A page's Markdown; an empty text for none."""
+
+#: A page's main part is taken alone if it gives so many characters.
+MAIN_LEAST = 200
+
+
+def _markdown_of(html: str) -> str:
     parser = _Text()
-    parser.feed(re.sub(r"(?s)<head\b.*?</head\s*>", " ", html or ""))
+    parser.feed(html)
     parser.close()
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))).strip()
 
 
+def html_to_markdown(html: str | None) -> str:
+    """The Markdown of a page's main part, or of the whole page where that is short or missing; an empty text for none."""
+    page = re.sub(r"(?s)<head\b.*?</head\s*>", " ", html or "")
+    main = re.search(r"(?is)<(main|article)\b.*</\1\s*>", page)
+    found = _markdown_of(main[0]) if main else ""
+    return found if len(found) >= MAIN_LEAST else max(_markdown_of(page), found, key=len)
+
+
 @F.pandas_udf(T.StringType())
 def _markdown(html: pd.Series) -> pd.Series:
     return html.map(html_to_markdown)

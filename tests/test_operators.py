@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import session
 from docloom.functions import text as fx
 from docloom.operators import chunking, compiling, context, graph, incremental, links, relations
 from docloom.operators.components import components
@@ -182,6 +183,18 @@ def test_html_round(spark):
     for part in ("<h1>T &lt;x&gt;</h1>", "<li>a <strong>b</strong></li>", '<a href="P_q.html">r</a>', "&lt;c&gt;", "<tr><td>1</td><td>2</td></tr>"):
         assert part in html
     assert len(re.findall("<ul>", html)) == 1
+    assert "<tr><th>h</th><th>i</th></tr>" in html
+    assert export.markdown_to_html("- a\n  1. b\n  2. c\n- d").replace("\n", "") == "<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>"
+    assert export.markdown_to_html("`**x**` and **`y`**") == "<p><code>**x**</code> and <strong><code>y</code></strong></p>"
+    assert export.markdown_to_html("```\n# no") == "<pre>\n# no\n</pre>"
+    assert export.markdown_to_html(None) == ""
+
+
+def test_web_tables_and_main_part():
+    md = ingest.html_to_markdown("<table><tr><th>a<th>b|c</tr><tr><td><p>1</p><p>2</p></td><td><table><tr><td>x<td>y</table></td></table>z")
+    assert [x for x in md.split("\n") if x] == ["| a | b\\|c |", "|---|---|", "| 1 2 | x y |", "z"]
+    assert ingest.html_to_markdown(f"<body>aside<main><p>{'w ' * 150}</p></main></body>") == ("w " * 150).strip()
+    assert ingest.html_to_markdown("<body>aside<main><p>w</p></main></body>") == "aside\n\nw"
 
 
 def test_sources(spark):
@@ -225,3 +238,13 @@ def test_streams_over_many_files_and_arrivals(spark):
         got = watch.replayed(log, lambda x: watch.debounced(x, "1 hour", "1 day"), "bursts", rows).select("start", "end", "key", "n")
         assert sorted(map(tuple, got.collect()), key=str) == by_batch(log, "1 hour")
     assert watch.replayed(log.limit(0), lambda x: watch.counts(x), "hourly").count() == 0
+
+
+def test_temporary_tables_go(spark):
+    kept = session.scratch(spark, "kept")
+    with session.temporary(spark):
+        gone = session.materialize(spark.range(5), "gone")
+        out = session.materialize(gone.where("id > 2"), "kept", kept)
+    assert sorted(r.id for r in out.collect()) == [3, 4]
+    with pytest.raises(Exception, match="(?i)exist"):
+        gone.count()
