@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.llm import decontam, mixing, neardup, tokens, toxicity
 from docloom.llm.common import materialize, small_or_none, table
 from docloom.llm.queries import TOKENS
-
+from docloom.session import scratch, temporary
 
 #: Up to so many ids of dropped documents are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -71,8 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written as Parquet and read again."""
+    """Apply the stages to documents; each result is written as Parquet and read again, and what else a stage wrote goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with temporary(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
     return docs
