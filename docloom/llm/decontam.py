@@ -150,11 +150,12 @@ def _block_hits(docs: DataFrame, windows: DataFrame, p: Decontam) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, p: Decontam = Decontam()) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of docs (doc_id, text); items are sorted item_ids as strings."""
     windows = materialize(item_windows(items, p), "windows")
-    blocks = max(1, -(-windows.count() // p.block))
-    if blocks > 1:
-        windows = materialize(windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(2 * blocks))), "windows")
+    count = windows.count()
+    if count > p.block:
+        blocks = -(-count // max(1, p.block * 9 // 10))  # a tenth is left free, since hashes don't deal evenly
+        windows = materialize(windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks))), "windows")
         docs = materialize(docs.select("doc_id", "text"), "texts")  # rows have the same numbers for each block
-        hits = reduce(DataFrame.unionByName, [materialize(_block_hits(docs, windows.where(F.col("block") == k).drop("block"), p), "hits") for k in range(2 * blocks)])
+        hits = reduce(DataFrame.unionByName, [materialize(_block_hits(docs, windows.where(F.col("block") == k).drop("block"), p), "hits") for k in range(blocks)])
     else:
         hits = _block_hits(docs, windows, p)
     spans = F.array_sort(F.collect_set(F.struct("hit.start", "hit.stop")))
