@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _MASK = (1 << 64) - 1
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 17
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,8 +32,9 @@ class WordHasher:
     """Hashes the words of a text; a word is a maximal run of bytes for which ``is_word`` holds.
 
     A word's hash is a polynomial over random byte values modulo 2**64, mixed
-    once more. Positions are cut into blocks so that memory stays in
-    proportion to the block and not to the text's powers.
+    once more. Long texts are cut between words into blocks of about ``BLOCK``
+    bytes, so that memory stays in proportion to the block (or the longest word)
+    and to the number of words.
     """
 
     def __init__(self, is_word: np.ndarray, lower: bool = True, seed: int = 7):
@@ -57,6 +62,20 @@ class WordHasher:
     def prefixes(self, data: bytes, lengths: list[int | None]) -> list[np.ndarray]:
         """For each length, the hash of each word's first so many bytes (None: the whole word)."""
         b = np.frombuffer(data, dtype=np.uint8)
+        blocks = [self._block(b[k:stop], lengths) for k, stop in self._cuts(b)]
+        return blocks[0] if len(blocks) == 1 else [np.concatenate(x) for x in zip(*blocks, strict=True)]
+
+    def _cuts(self, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        start = 0
+        while len(b) - start > BLOCK:
+            stop = start + BLOCK
+            while stop < len(b) and self.is_word[b[stop]]:
+                stop += 1
+            yield start, stop
+            start = stop
+        yield start, len(b)
+
+    def _block(self, b: np.ndarray, lengths: list[int | None]) -> list[np.ndarray]:
         if not len(b):
             return [np.empty(0, dtype=np.uint64) for _ in lengths]
         inside = np.zeros(len(b) + 2, dtype=np.int8)
