@@ -11,15 +11,28 @@ from pyspark.sql import types as T
 
 from docloom.session import materialize, scratch, shared_root, table
 
-__all__ = ["materialize", "per_batch", "scratch", "shared_root", "small_or_none", "table", "text_bytes", "text_strings"]
+__all__ = ["materialize", "per_batch", "pieces", "scratch", "shared_root", "small_or_none", "table", "text_bytes", "text_strings"]
+
+
+#: About so many bytes of a batch are worked on at once, so that Python's copies of them stay small.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, in order, in smaller batches; a worker that stays gives back what Arrow no longer needs."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+        del batch  # before the next one comes
+    pa.default_memory_pool().release_unused()
 
 
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """Apply a function of one Arrow batch to each batch."""
+    """Apply a function of one Arrow batch to all rows, piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield function(batch)
+        yield from map(function, pieces(batches))
 
     return df.mapInArrow(run, schema)
 

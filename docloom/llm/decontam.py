@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, per_batch, text_bytes
+from docloom.llm.common import materialize, per_batch, pieces, text_bytes
 from docloom.llm.textkit import ALNUM, WordHasher, mix64
 
 
@@ -100,7 +100,7 @@ def _candidates(docs: DataFrame, shingles: np.ndarray, widths: list[int], p: Dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen, task = known.value, 0, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in pieces(batches):
             lengths, places = [], []
             for data in text_bytes(batch):
                 w = hasher.words(data)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, scratch, text_bytes
+from docloom.llm.common import materialize, pieces, scratch, text_bytes
 
 MAGIC = b"TOKSHARD"
 _HEADER = struct.Struct("<8sQQ")
@@ -164,7 +164,7 @@ def write_shards(docs: DataFrame, t: Tokens, folder: str | None = None, shards:
         draft = f"{root}/.{shard}-{uuid.uuid4().hex}"
         lengths, ids, nulls = [], [], []
         with fs.open_output_stream(draft + ".bin") as out:
-            for batch in batches:
+            for batch in pieces(batches):
                 column = batch.column(0)
                 ids.append(np.asarray(column.fill_null(0), dtype="<i8"))
                 nulls.append(np.asarray(column.is_null()).astype(np.uint8))

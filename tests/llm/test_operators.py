@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docloom.llm import audio, decontam, licenses, mixing, neardup, pii, queries, secrets, tokens, toxicity
+from docloom.llm import audio, common, decontam, licenses, mixing, neardup, pii, queries, secrets, textkit, tokens, toxicity
 from docloom.llm.oracles import ORACLES
 from docloom.llm.textkit import ALNUM, SPACED, WordHasher, shingle_hashes
 from tests.compare import rows
@@ -374,3 +374,18 @@ def test_pipeline_by_hand(spark):
     times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert times == {d: -(-taken // size) for d, (taken, size) in plan.items() if taken}
     assert corpus_pipeline.run(spark, SF).count() == sum(times.values())
+
+
+def test_long_texts_are_hashed_in_blocks_between_words():
+    words = ["a" * (textkit.BLOCK + 5), *[f"w{k}" for k in range(60_000)], "é" * textkit.BLOCK, "end"]
+    whole = WordHasher(SPACED).prefixes("  ".join(words).encode(), [None, 4])
+    for length, hashes in zip((None, 4), whole, strict=True):
+        one = [WordHasher(SPACED).words(w.encode()[:length])[0] for w in words[:50] + words[-3:]]
+        assert len(hashes) == len(words) and hashes[:50].tolist() + hashes[-3:].tolist() == one
+
+
+def test_pieces_of_a_batch_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(common, "PIECE_BYTES", 64)
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": k, "text": "x" * (k % 70)} for k in range(n)], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for n in (0, 1, 200)]
+    out = list(common.pieces(iter(batches)))
+    assert len(out) > 100 and pa.Table.from_batches(out).equals(pa.Table.from_batches(batches))
