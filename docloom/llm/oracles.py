@@ -107,6 +107,67 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, w.doc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
 """
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters."""
+    bits = "list_reduce(range(8), lambda d, k: xor(d >> 1, (d & 1) * 3988292384), xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), lambda c, b: {bits}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+STRUCTURE = f"""
+WITH RECURSIVE g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(0) || text), copy) AS k, rtrim(text, {_WHITE}) AS rest FROM d),
+f AS (SELECT *, CASE WHEN rest = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN right(rest, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o),
+c AS (SELECT conv_id, greatest(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS last FROM f GROUP BY conv_id),
+moves AS (SELECT s AS state, n AS inserts, CASE WHEN n = 0 THEN s WHEN s = 3 THEN CASE n % 2 WHEN 1 THEN 2 ELSE 3 END ELSE CASE n % 2 WHEN 1 THEN 3 ELSE 2 END END AS at,
+  list_transform(range(n), lambda i: CASE WHEN (s = 3) = (i % 2 = 0) THEN 'assistant:' ELSE 'user:' END) AS lines FROM range(4) a(s), range(3) b(n)),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM f
+  UNION ALL
+  SELECT conv_id, k, state, cost, audit, lines FROM (
+    SELECT r.conv_id, f.k, t.after AS state, r.cost + 3 * m.inserts + t.cost + CASE WHEN t.edit <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END AS cost, r.audit || repeat('I', m.inserts::BIGINT) || t.edit AS audit,
+      r.lines || m.lines || CASE t.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [t.role || ':' || f.text] END AS lines
+    FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1 JOIN moves m ON m.state = r.state
+    JOIN (SELECT s AS state, 'D' AS edit, s AS after, 4 AS cost, NULL AS due, NULL AS role FROM range(4) a(s)
+      UNION ALL SELECT 0, 'K', 1, 0, 's', NULL UNION ALL SELECT s, 'K', 3, 0, 'u', NULL FROM range(3) a(s) UNION ALL SELECT 3, 'K', 2, 0, 'a', NULL
+      UNION ALL SELECT s, 'R', 3, 3, NULL, 'user' FROM range(3) a(s) UNION ALL SELECT 3, 'R', 2, 3, NULL, 'assistant') t
+    ON t.state = m.at AND (t.due IS NULL OR t.due = f.initial) AND (t.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate')))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, k, state ORDER BY cost, audit) = 1),
+z AS (SELECT r.conv_id, cost + CASE state WHEN 1 THEN 6 WHEN 3 THEN 3 ELSE 0 END AS cost, audit || CASE state WHEN 1 THEN 'II' WHEN 3 THEN 'I' ELSE '' END AS audit,
+    lines || CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 3 THEN ['assistant:'] ELSE []::VARCHAR[] END AS lines
+  FROM r JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = c.last),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+_SUMS = "count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4"
+_DISCOUNTS = """SELECT *, n1::DOUBLE / (n1 + 2 * n2) AS y FROM {0}), {1} AS (SELECT *, n1 * n2 * n3 * n4 > 0 AND 1 - 2 * y * n2 / n1 BETWEEN 0 AND 1 AND 2 - 3 * y * n3 / n2 BETWEEN 0 AND 2 AND 3 - 4 * y * n4 / n3 BETWEEN 0 AND 3 AS fit FROM {1}0),
+{1}d AS (SELECT *, CASE WHEN fit THEN 1 - 2 * y * n2 / n1 ELSE 0.5 END::DOUBLE AS d1, CASE WHEN fit THEN 2 - 3 * y * n3 / n2 ELSE 1 END::DOUBLE AS d2, CASE WHEN fit THEN 3 - 4 * y * n4 / n3 ELSE 1.5 END::DOUBLE AS d3 FROM {1}"""
+_LESS = "CASE {0} WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
+LANGUAGE_MODEL = f"""
+WITH t AS (SELECT doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out, list_append(regexp_extract_all({_lowered("text")}, '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents),
+k AS (SELECT doc_id, held_out, unnest(list_prepend(chr(9), w)[:len(w)]) AS v, unnest(w) AS w FROM t),
+raw AS (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY w),
+tot AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS words FROM raw),
+bi AS (SELECT v, w, count(*) AS c FROM k WHERE NOT held_out GROUP BY v, w),
+uni AS (SELECT w, count(*) AS c FROM bi GROUP BY w),
+ctx AS (SELECT v, sum(c) AS s, count(*) FILTER (c = 1) AS m1, count(*) FILTER (c = 2) AS m2, count(*) FILTER (c > 2) AS m3 FROM bi GROUP BY v),
+b0 AS ({_DISCOUNTS.format(f"(SELECT {_SUMS} FROM bi)", "b")}),
+u0 AS ({_DISCOUNTS.format(f"(SELECT sum(c) AS s, count(*) FILTER (c > 2) AS m3, {_SUMS} FROM uni)", "u")}),
+low AS (SELECT w, ({{u}}) AS p FROM (SELECT DISTINCT w FROM k) LEFT JOIN (SELECT w, c FROM uni) USING (w), ud, tot),
+p AS (SELECT k.doc_id, k.held_out, coalesce(raw.c, 0) AS c, log10((coalesce(raw.c, 0) + 1) / (n + words + 1)) AS base,
+    log10(CASE WHEN s IS NULL THEN low.p ELSE (coalesce(bi.c, 0) - {_LESS.format("coalesce(bi.c, 0)")} + (d1 * m1 + d2 * m2 + d3 * m3) * low.p) / s END) AS full
+  FROM k JOIN low ON low.w = k.w LEFT JOIN raw ON raw.w = k.w LEFT JOIN bi ON bi.v = k.v AND bi.w = k.w LEFT JOIN ctx ON ctx.v = k.v, bd, tot)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, (SELECT n FROM tot) AS train_tokens, round(fsum(base), 6) AS base_score, round(fsum("full"), 6) AS score FROM p GROUP BY doc_id, held_out
+""".replace("{u}", f"(coalesce(c, 0) - {_LESS.format('coalesce(c, 0)')} + (d1 * n1 + d2 * n2 + d3 * m3) / (words + 1)) / s")
+
 ORACLES: dict[str, str] = {
     "op1_secrets": SECRETS,
     "op4_licenses": LICENSES,
@@ -114,4 +175,6 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": DECONTAMINATION,
     "op9_perspectives": PERSPECTIVES,
     "op10_near_duplicates": NEAR_DUPLICATES,
+    "op11_structure": STRUCTURE,
+    "op13_language_model": LANGUAGE_MODEL,
 }

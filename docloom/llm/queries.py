@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import audio, chat, decontam, licenses, mixing, neardup, pii, secrets, tokens, toxicity
+from docloom.llm import audio, chat, decontam, licenses, lm, mixing, neardup, pii, secrets, structure, tokens, toxicity
 from docloom.llm.common import table
 
 TOKENS = tokens.Tokens(public_tokenizers.path("word_bpe_49k.json"))
@@ -79,7 +79,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(shingle=2))
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations and repair them."""
+    turns = table(spark, sf_dir, "conversations")
+    found = structure.digest(structure.repair(structure.damage(turns))).withColumnRenamed("conv_id", "_conv")
+    given = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts] + [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return given.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select("conv_id", *filled)
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn a language model from the documents outside the held-out fold and score all of them."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, lm.fit(docs.where(~lm.held_out(F.col("doc_id")))))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op2_token_ids, op3_audio, op4_licenses, op5_toxicity, op6_source_mix, op7_personal_data, op8_decontamination, op9_perspectives, op10_near_duplicates)
+    for f in (op1_secrets, op2_token_ids, op3_audio, op4_licenses, op5_toxicity, op6_source_mix, op7_personal_data, op8_decontamination, op9_perspectives, op10_near_duplicates, op11_structure, op13_language_model)
 }
