@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import audio, chat, decontam, licenses, lm, mixing, neardup, pii, secrets, structure, tokens, toxicity
+from docloom.llm import alignment, audio, chat, decontam, licenses, lm, mixing, neardup, pii, secrets, structure, tokens, toxicity
 from docloom.llm.common import table
 
 TOKENS = tokens.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+ALIGNMENT = alignment.Alignment(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,11 @@ def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select("conv_id", *filled)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align two tokenizers over all documents."""
+    return alignment.align(table(spark, sf_dir, "documents"), ALIGNMENT)[0]
+
+
 def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn a language model from the documents outside the held-out fold and score all of them."""
     docs = table(spark, sf_dir, "documents")
@@ -98,5 +104,5 @@ def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op2_token_ids, op3_audio, op4_licenses, op5_toxicity, op6_source_mix, op7_personal_data, op8_decontamination, op9_perspectives, op10_near_duplicates, op11_structure, op13_language_model)
+    for f in (op1_secrets, op2_token_ids, op3_audio, op4_licenses, op5_toxicity, op6_source_mix, op7_personal_data, op8_decontamination, op9_perspectives, op10_near_duplicates, op11_structure, op12_alignment, op13_language_model)
 }
