@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import materialize, pieces, small_or_none, text_strings
 
 #: A segment begins at a space between two characters that every reading of white space takes as visible.
-_VISIBLE = r"[^\s\u0085᠎​-‏ -  -⁤　﻿]"
+_VISIBLE = r"[^\s\u0085\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 _CUT = re.compile(rf"(?<={_VISIBLE})(?= {_VISIBLE})")
 _SPACE = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")

@@ -350,6 +350,8 @@ def fit(docs: DataFrame, p: KneserNey = KneserNey(), folder: str | None = None)
 def _gathered(model: Model, name: str, bucket: np.ndarray, keys: np.ndarray, fields: list[str]) -> list[np.ndarray]:
     """For sorted keys, fields of the files of their buckets; 0 where a key isn't there."""
     out = [np.zeros(len(keys), dtype=np.int64) for _ in fields]
+    if not len(keys):
+        return out
     order = np.argsort(bucket, kind="stable")
     used, cuts = np.unique(bucket[order], return_index=True)
     for b, low, high in zip(used, cuts, [*cuts[1:], len(order)], strict=True):
