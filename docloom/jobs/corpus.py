@@ -354,15 +354,20 @@ def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("score"), "doc_id").limit(25).select("doc_id", F.round("score", 6).alias("score"))
 
 
-def _fold(name: str, source: str, body: str, budget: int) -> str:
-    """Common tables of a greedy choice: NAME has a row for each document that was looked at."""
-    return f"""{name}r AS (SELECT doc_id, score, {_TOKENS.format(body)} AS tokens, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM ({source}) WHERE score > 0),
-    {name} AS (SELECT 0::BIGINT AS n, {budget}::BIGINT AS remaining, NULL::BIGINT AS doc_id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens, false AS used
-      UNION ALL SELECT r.n, CASE WHEN r.tokens <= g.remaining THEN g.remaining - r.tokens ELSE g.remaining END, r.doc_id, r.score, r.tokens, r.tokens <= g.remaining FROM {name} g JOIN {name}r r ON r.n = g.n + 1 WHERE g.remaining > 0)"""
+def _fold(name: str, source: str, budget: int) -> str:
+    """Common tables of a greedy choice over SOURCE (n, tokens): NAME has a row (n, tokens, remaining) for each that is taken, by one fold over the ordered list."""
+    return f"""{name}f AS (SELECT list_reduce(list(struct_pack(left := tokens, rows := [struct_pack(n := n, tokens := tokens, remaining := 0::BIGINT)]) ORDER BY n), lambda a, x: CASE WHEN a.left <= 0 OR x.left > a.left THEN a
+        ELSE struct_pack(left := a.left - x.left, rows := list_append(a.rows, struct_pack(n := x.rows[1].n, tokens := x.left, remaining := a.left - x.left))) END,
+        struct_pack(left := {budget}::BIGINT, rows := []::STRUCT(n BIGINT, tokens BIGINT, remaining BIGINT)[])).rows AS rows FROM {source}),
+    {name} AS (SELECT unnest(rows, recursive := true) FROM {name}f)"""
+
+
+def _ranked(name: str, source: str, body: str) -> str:
+    return f"{name} AS (SELECT doc_id, score, {_TOKENS.format(body)} AS tokens, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM ({source}) WHERE score > 0)"
 
 
 def _greedy(body: str, budget: int) -> str:
-    return f"WITH RECURSIVE {_fold('g', _scored(QUESTION), body, budget)} SELECT doc_id, round(score, 6) AS score, tokens, remaining FROM g WHERE used"
+    return f"WITH {_ranked('r', _scored(QUESTION), body)}, {_fold('g', 'r', budget)} SELECT doc_id, round(score, 6) AS score, g.tokens, remaining FROM g JOIN r ON r.n = g.n"
 
 
 @query(_greedy("text", 8500))
@@ -377,10 +382,11 @@ def context_first_para(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BODIES = ("text", "string_split(text, chr(10))[1]", "stem")
-_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, count(*) AS n_used, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM l{k} WHERE used" for k in range(3))
+_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, count(*) AS n_used, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM l{k}" for k in range(3))
+_FOLDS = ", ".join(f"{_ranked(f'l{k}r', _scored(QUESTION), body)}, {_fold(f'l{k}', f'l{k}r', 8500)}" for k, body in enumerate(_BODIES))
 
 
-@query(f"WITH RECURSIVE {', '.join(_fold(f'l{k}', _scored(QUESTION), body, 8500) for k, body in enumerate(_BODIES))}, n AS (SELECT count(*) AS n_scored FROM l0r), v AS ({_LEVELS}) SELECT level, n_scored, n_used, tokens FROM v, n WHERE level <= coalesce((SELECT min(level) FROM v, n WHERE n_used = n_scored), 2)")
+@query(f"WITH {_FOLDS}, n AS (SELECT count(*) AS n_scored FROM l0r), v AS ({_LEVELS}) SELECT level, n_scored, n_used, tokens FROM v, n WHERE level <= coalesce((SELECT min(level) FROM v, n WHERE n_used = n_scored), 2)")
 def fallback_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.levels(_stemmed(spark, sf_dir), QUESTION, SMALL.available, F.split("text", "\n")[0])
 
@@ -388,11 +394,43 @@ def fallback_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = ("relation of eau", "ung in src7")
 
 
-@query(f"WITH RECURSIVE {', '.join(_fold(f'q{k}', _scored(q), 'text', 4000) for k, q in enumerate(PARTS))} SELECT doc_id, count(*) AS n_questions FROM ({' UNION ALL '.join(f'SELECT doc_id FROM q{k} WHERE used' for k in range(len(PARTS)))}) GROUP BY doc_id")
+_ASKS = ", ".join(f"{_ranked(f'q{k}r', _scored(q), 'text')}, {_fold(f'q{k}', f'q{k}r', 4000)}" for k, q in enumerate(PARTS))
+
+
+@query(f"WITH {_ASKS} SELECT doc_id, count(*) AS n_questions FROM ({' UNION ALL '.join(f'SELECT doc_id FROM q{k} JOIN q{k}r USING (n)' for k in range(len(PARTS)))}) GROUP BY doc_id")
 def context_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.decomposed(_stemmed(spark, sf_dir), list(PARTS), 4000)
 
 
+#: Two index pages, then concepts and explorations, each with a heading of its own.
+_KIND = "CASE WHEN doc_id < 2 THEN 'index' WHEN lang = 'de' THEN 'exploration' ELSE 'concept' END"
+_ASSEMBLED = f"""WITH s AS (SELECT doc_id, lang, source, '# Page ' || doc_id || chr(10) || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS page FROM documents),
+k AS (SELECT doc_id AS id, {_KIND} AS kind, page AS text, lower(lang || '_' || source) AS stem, CASE WHEN starts_with(page, '#') THEN array_to_string(regexp_split_to_array(page, '\n{{2,}}')[1:2], chr(10) || chr(10)) END AS first FROM s),
+c AS (SELECT id, kind, text, first, {{score}} AS score FROM k),
+m AS (SELECT unnest(['full', 'first_para', 'summaries_only']) AS mode),
+t AS (SELECT mode, id, kind, score, greatest(1, ceil(strlen(CASE WHEN mode = 'first_para' AND kind = 'concept' THEN first ELSE text END) / 4.0))::BIGINT AS tokens FROM c, m WHERE score > 0 OR kind = 'index'),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY CASE kind WHEN 'index' THEN 1 WHEN 'concept' THEN 2 ELSE 3 END, CASE kind WHEN 'index' THEN 0 ELSE -score END, id) AS n FROM t WHERE NOT (mode = 'summaries_only' AND kind = 'concept'))"""
+
+
+def _modes(budget: int) -> str:
+    words = fx.question_words(QUESTION)
+    score = "(" + " + ".join(f"(CASE WHEN contains(replace(stem, '_', ' '), '{w}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in words) + f") / {len(words)}::DOUBLE"
+    folds = ", ".join(_fold(f"f{k}", f"(SELECT * FROM r WHERE mode = '{m}')", budget) for k, m in enumerate(context.MODES))
+    used = " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM f{k}" for k, m in enumerate(context.MODES))
+    return f"""{_ASSEMBLED.replace("{score}", score)}, {folds}, u AS ({used}), e AS (SELECT mode, max(n) AS last FROM u WHERE remaining <= 0 GROUP BY mode)
+    SELECT r.mode, r.id, kind, round(score, 6) AS score, r.tokens, CASE WHEN u.n IS NULL THEN 'skipped' ELSE 'used' END AS decision, remaining FROM r LEFT JOIN u ON u.mode = r.mode AND u.n = r.n LEFT JOIN e ON e.mode = r.mode WHERE last IS NULL OR r.n <= last
+    UNION ALL SELECT mode, id, kind, round(score, 6), tokens, 'compressed', NULL FROM t WHERE mode = 'summaries_only' AND kind = 'concept'"""
+
+
+@query(_modes(8500))
+def context_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each page in a context of whole pages, of first paragraphs, and of summaries only."""
+    page = F.concat(F.lit("# Page "), "doc_id", F.lit("\n\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")))
+    pages = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.expr(_KIND).alias("kind"), page.alias("text"), F.concat_ws("_", "lang", "source").alias("stem"))
+    each = [context.assembled(pages, QUESTION, SMALL.available, m).withColumn("mode", F.lit(m)) for m in context.MODES]
+    return each[0].union(each[1]).union(each[2]).withColumn("score", F.round("score", 6))
+
+
 @query("WITH g AS (SELECT DISTINCT lower(p_type) AS gap FROM part), e AS (SELECT DISTINCT lower(p_type) AS t FROM part WHERE p_size < 3) SELECT gap FROM g WHERE gap NOT IN (SELECT t FROM e)")
 def new_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

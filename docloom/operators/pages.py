@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import body, front_matter
+from docloom.functions.frontmatter import items, quoted, raw_values
+from docloom.functions.text import body
 from docloom.operators.links import links
 
 #: The section of related concepts, and the words for relations.
@@ -19,11 +20,8 @@ _BLANK = " \n\t\r"
 
 
 def meta(text: Column) -> Column:
-    """The front matter as a map from keys to their values as they are written, lists with their lines; empty without front matter."""
-    own = F.coalesce(front_matter(text), F.lit(""))
-    pattern = r"(?m)^([A-Za-z_][\w-]*):([^\n]*(?:\n(?:[ ]+|-[ ])[^\n]*)*)"
-    value = lambda x: F.when(x.contains("\n"), F.regexp_replace(F.regexp_replace(x, r"^[ ]+\n", "\n"), r"[ \n]+$", "")).otherwise(F.trim(x))
-    return F.map_from_arrays(F.regexp_extract_all(own, F.lit(pattern), F.lit(1)), F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(2)), value))
+    """The front matter as a map from keys to their values as they are written, lists with their lines; the last of repeated keys counts; empty without front matter."""
+    return raw_values(text)
 
 
 def dumped(values: Column, content: Column) -> Column:
@@ -39,21 +37,15 @@ def with_values(values: Column, new: dict[str, Column]) -> Column:
     return F.map_concat(rest, F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v)]))
 
 
-def list_value(value: Column) -> Column:
-    """A value of front matter as an array: the items of a list, or one scalar."""
-    items = F.transform(F.regexp_extract_all(value, F.lit(r"(?m)^[ ]*-[ ]+(.*)$"), F.lit(1)), lambda x: F.trim(x))
-    return F.when(value.isNull() | (value == "") | (value == "[]"), F.array().cast("array<string>")).when(value.contains("\n"), items).otherwise(F.array(value))
-
-
-def block(items: Column) -> Column:
+def block(values: Column) -> Column:
     """An array as a list of front matter."""
-    return F.concat(F.lit("\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    return F.concat(F.lit("\n"), F.array_join(F.transform(values, lambda x: F.concat(F.lit("- "), quoted(x))), "\n"))
 
 
 def with_source(text: Column, source: Column, date: str) -> Column:
     """The page with one more source file, once, and a new date."""
     own = meta(text)
-    files = F.array_union(list_value(own["source_files"]), F.array(source))
+    files = F.array_union(items(F.coalesce(own["source_files"], F.lit(""))), F.array(source))
     return dumped(with_values(own, {"source_files": block(files), "last_updated": F.lit(date)}), body(text))
 
 
@@ -104,8 +96,9 @@ def without_pages(pages: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def with_related(pages: DataFrame, relations: DataFrame, date: str) -> DataFrame:
-    """(slug, content) of the pages (slug, name, content) with relations (source, target, type): front matter and the related section name them by type, then target."""
+    """(slug, content) of the pages (slug, name, content) with relations (source, target, type): front matter and the related section name them by type, then target; an unknown type is related."""
     names = pages.select(F.col("slug").alias("target"), "name")
+    relations = relations.withColumn("type", F.when(F.col("type").isin(*WORDS), F.col("type")).otherwise("related"))
     word = F.create_map(*[F.lit(x) for kv in WORDS.items() for x in kv])[F.col("type")]
     rows = relations.join(names, "target").select(F.col("source").alias("slug"), F.struct("type", "target", F.col("name").alias("other"), word.alias("word")).alias("r"))
     each = rows.groupBy("slug").agg(F.array_sort(F.collect_set("r")).alias("r"))

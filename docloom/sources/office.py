@@ -40,20 +40,29 @@ def table_line(cells: Column) -> Column:
 def sheet_pages(cells: DataFrame, per_block: int) -> DataFrame:
     """(sheet, block, markdown) of cells (sheet, row, col, value, formula): row 0 heads every block of ``per_block`` rows; a blank head is named by its column.
 
-    Rows come from cells, blocks from rows; a block is as large as ``per_block`` rows.
+    A sheet without row 0 has blank heads, and one with row 0 only is a block of its head. Of several values in one
+    cell the greatest text counts; a cell without row or column is left out. Rows come from cells,
+    blocks from rows; a block is as large as ``per_block`` rows.
     """
+    cells = cells.where("row IS NOT NULL AND col IS NOT NULL")
     width = cells.groupBy("sheet").agg(F.max("col").alias("width"), F.max("row").alias("total"))
-    lines = cells.select("sheet", "row", F.struct("col", cell(F.col("value"), F.col("formula")).alias("x")).alias("c")).groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list("c")).alias("m")).join(width, "sheet")
-    own = F.transform(F.sequence(F.lit(0), F.col("width")), lambda k: F.coalesce(F.element_at("m", k), F.lit("")))
-    heads = F.transform(own, lambda x, k: F.when(x == "", F.concat(F.lit("열"), k + 1)).otherwise(x))
-    rule = F.transform(F.sequence(F.lit(0), F.col("width")), lambda k: F.lit("---"))
-    head = lines.where("row = 0").select("sheet", F.concat_ws("\n", table_line(heads), table_line(rule)).alias("head"))
-    rows = lines.where("row > 0").select("sheet", "total", F.floor((F.col("row") - 1) / per_block).alias("block"), "row", table_line(own).alias("line"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
-    blocks = rows.groupBy("sheet", "block").agg(F.first("total").alias("total"), F.min("row").alias("first"), F.max("row").alias("last"), listed.alias("lines")).join(head, "sheet")
+    listed = cells.select("sheet", "row", F.struct("col", cell(F.col("value"), F.col("formula")).alias("x")).alias("c")).groupBy("sheet", "row").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    last = F.filter("c", lambda x, k: F.coalesce(F.get("c", k + 1)["col"] != x["col"], F.lit(True)))
+    same = width["sheet"].eqNullSafe(F.col("_sheet"))
+    lines = listed.select(F.col("sheet").alias("_sheet"), "row", F.map_from_entries(last).alias("m")).join(width, same).drop("_sheet")
+    own = F.transform(F.sequence(F.lit(0), F.col("width")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("")))
+    named = lambda x, k: F.when(x == "", F.concat(F.lit("열"), k + 1)).otherwise(x)
+    every = F.sequence(F.lit(0), F.col("width"))
+    rule = table_line(F.transform(every, lambda k: F.lit("---")))
+    first = lines.where("row = 0").select(F.col("sheet").alias("_sheet"), table_line(F.transform(own, named)).alias("head"))
+    head = width.join(first, same, "left").select("sheet", "total", F.concat_ws("\n", F.coalesce("head", table_line(F.transform(every, lambda k: F.concat(F.lit("열"), k + 1)))), rule).alias("head"))
+    rows = lines.where("row > 0").select(F.col("sheet").alias("_sheet"), F.floor((F.col("row") - 1) / per_block).alias("block"), "row", table_line(own).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
+    blocks = rows.groupBy("_sheet", "block").agg(F.min("row").alias("first"), F.max("row").alias("last"), text.alias("lines"))
+    blocks = head.join(blocks, head["sheet"].eqNullSafe(blocks["_sheet"]), "left")
     n = F.ceil(F.col("total") / per_block)
     title = F.when(n > 1, F.format_string("**행 %d–%d / 전체 %d행 (청크 %d/%d)**\n\n", "first", "last", "total", F.col("block") + 1, n)).otherwise("")
-    return blocks.select("sheet", (F.col("block") + 1).alias("block"), F.concat(title, "head", F.lit("\n"), "lines").alias("markdown"))
+    return blocks.select("sheet", (F.coalesce("block", F.lit(0)) + 1).alias("block"), F.concat(F.when(F.col("block").isNull(), "").otherwise(title), "head", F.coalesce(F.concat(F.lit("\n"), "lines"), F.lit(""))).alias("markdown"))
 
 
 def chart_texts(charts: DataFrame) -> DataFrame:

@@ -110,12 +110,13 @@ def greedy_by_hand(rows, budget):
     return out
 
 
-@pytest.mark.parametrize("batch", [1, 3, 1000])
-def test_greedy_skips_and_goes_on(spark, batch):
-    rng = random.Random(batch)
+@pytest.mark.parametrize("block", [1, 4, 1024])
+def test_greedy_skips_and_goes_on(spark, block, monkeypatch):
+    monkeypatch.setattr(context, "BLOCK", block)
+    rng = random.Random(block)
     rows = [(i, rng.choice([-3.0, -2.0, -1.0]), rng.randint(1, 40)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, rank double, tokens long")
-    got = [(r["id"], r["remaining"]) for r in sorted(context.greedy(df, 150, batch).collect(), key=lambda r: -r["remaining"])]
+    got = [(r["id"], r["remaining"]) for r in sorted(context.greedy(df, 150).collect(), key=lambda r: -r["remaining"])]
     assert got == greedy_by_hand(rows, 150)
 
 
