@@ -307,9 +307,20 @@ def search_substring_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.substring(_docs(spark, sf_dir), "Licen")
 
 
-@query(with_views("SELECT slug, round((2 * levenshtein(lower(title), 'blue green bolt') / greatest(length(title), 15)::DOUBLE + levenshtein(lower(summary), 'blue green bolt') / greatest(length(summary), 15)::DOUBLE) / 3, 6) AS score FROM concepts WHERE levenshtein(lower(title), 'blue green bolt') / greatest(length(title), 15)::DOUBLE <= 0.6 ORDER BY score, slug LIMIT 20", "concepts"))
+_ASKED_FUZZY = "blue gren bolt"
+
+
+def _near(field: str, weight: str) -> str:
+    """A field's part of a fuzzy score: all its parts are compared."""
+    m = len(_ASKED_FUZZY)
+    gap = f"(SELECT min(levenshtein(substring(f, i::INT, n::INT), '{_ASKED_FUZZY}')) FROM range(1, length(f) + 1) a(i), range(0, {2 * m}) b(n) WHERE i + n <= length(f) + 1) / {m}::DOUBLE"
+    return f"""(SELECT slug, CASE WHEN gap <= 0.4 THEN pow(CASE WHEN f = '{_ASKED_FUZZY}' THEN pow(2::DOUBLE, -52) ELSE greatest(gap, 0.001) END, {weight} * round(1 / sqrt(len(regexp_extract_all(f, '[^ ]+'))), 3)) END AS s
+      FROM (SELECT slug, f, {gap} AS gap FROM (SELECT slug, lower({field}) AS f FROM concepts)))"""
+
+
+@query(with_views(f" SELECT slug, round(coalesce(t.s, 1) * coalesce(u.s, 1), 6) AS score FROM {_near('title', '(2 / 3::DOUBLE)')} t JOIN {_near('summary', '(1 / 3::DOUBLE)')} u USING (slug) WHERE t.s IS NOT NULL OR u.s IS NOT NULL ORDER BY score, slug LIMIT 50", "concepts"))
 def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuzzy(views.concepts(spark, sf_dir), "blue green bolt", threshold=0.6)
+    return search.fuzzy(views.concepts(spark, sf_dir), "Blue gren Bolt", limit=50)
 
 
 @query(with_views(", h AS (SELECT doc_id FROM documents) SELECT action, count(*) AS n FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'insert' WHEN doc_id % 3 = 0 THEN 'update' ELSE 'skip' END AS action FROM h UNION ALL SELECT 'delete' FROM h WHERE doc_id % 50 = 1) GROUP BY action", "concepts"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.distance import MOST, nearest, possible
 from docloom.session import scratch
 
 K1, B = 1.2, 0.75
@@ -42,10 +44,10 @@ def bm25(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     counted = words.select("doc_id", F.size("w").cast("double").alias("len"), *[hits(k).alias(f"f{k}") for k in range(len(asked))])
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{k}") > 0).cast("double")).alias(f"df{k}") for k in range(len(asked))])
     rows = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(asked)))).crossJoin(F.broadcast(stats))  # stats is one row
-    return rows.select("doc_id", F.round(_score(len(asked)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+    return rows.select("doc_id", F.round(score(len(asked)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-def _score(n_terms: int) -> Column:
+def score(n_terms: int) -> Column:
     """The score of rows with f0.., df0.., len, n and avg."""
     score = F.lit(0.0)
     for k in range(n_terms):
@@ -81,7 +83,7 @@ def bm25_stored(spark: SparkSession, folder: str, query: str, limit: int = 20) -
         both = both.crossJoin(own.agg(F.count("*").cast("double").alias(f"df{k}")))  # one row each
         found = own if found is None else found.join(own, "doc_id")
     rows = found.join(spark.read.schema("doc_id long, len long").parquet(f"{folder}/lengths"), "doc_id").crossJoin(F.broadcast(both))  # both is one row
-    return rows.select("doc_id", F.round(_score(len(asked)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+    return rows.select("doc_id", F.round(score(len(asked)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def substring(docs: DataFrame, query: str, limit: int = 20, around: int = 60) -> DataFrame:
@@ -93,12 +95,31 @@ def substring(docs: DataFrame, query: str, limit: int = 20, around: int = 60) ->
     return rows.orderBy("doc_id").limit(limit)
 
 
-def fuzzy(concepts: DataFrame, query: str, limit: int = 20, threshold: float = 0.4) -> DataFrame:
-    """(slug, score): names within a relative edit distance of the query; title weighs 2, summary 1."""
+def fuzzy(rows: DataFrame, query: str, limit: int = 20, threshold: float = 0.4) -> DataFrame:
+    """(slug, score): rows (slug, title, summary) of which a part of either is near the query, best first; title weighs 2, summary 1.
+
+    A field's score is the query's least edit distance to any part of it, over the query's length; at least 0.001,
+    or next to nothing if the field is the query. Fields above the threshold don't count. A row's score is the product of its fields' scores, each
+    to the power of its weight by the root of its number of words. Only fields that have enough of the query's q-grams are compared.
+    A query of over 61 characters is compared in pieces, whose distances are added.
+    """
     asked = query.lower()
-    gap = lambda c: F.levenshtein(F.lower(c), F.lit(asked)) / F.greatest(F.length(c), F.lit(len(asked)))
-    score = F.round((2 * gap(F.col("title")) + gap(F.coalesce("summary", F.lit("")))) / 3, 6)
-    return concepts.select("slug", score.alias("score"), gap(F.col("title")).alias("gap")).where(F.col("gap") <= threshold).select("slug", "score").orderBy("score", "slug").limit(limit)
+    most = int(threshold * len(asked))
+    if not asked:
+        return rows.select("slug", F.lit(0.0).alias("score")).limit(0)
+    parts = [asked[k : k + MOST] for k in range(0, len(asked), MOST)]
+
+    def field(name: str, weight: float) -> Column:
+        own = F.lower(F.coalesce(name, F.lit("")))
+        may = [possible(own, x, most) for x in parts]
+        near = [nearest(own, x) for x in parts]
+        gap = F.when(reduce(Column.__and__, may), reduce(Column.__add__, near)) / len(asked)
+        norm = F.round(1 / F.sqrt(F.greatest(F.lit(1), F.size(F.regexp_extract_all(own, F.lit("[^ ]+"), F.lit(0))))), 3)
+        value = F.when(own == asked, 2.0**-52).otherwise(F.greatest(gap, F.lit(0.001)))
+        return F.when(gap <= threshold, F.pow(value, weight * norm))
+
+    scores = rows.select("slug", field("title", 2 / 3).alias("t"), field("summary", 1 / 3).alias("s")).where("t IS NOT NULL OR s IS NOT NULL")
+    return scores.select("slug", F.round(F.coalesce("t", F.lit(1.0)) * F.coalesce("s", F.lit(1.0)), 6).alias("score")).orderBy("score", "slug").limit(limit)
 
 
 def sync(indexed: DataFrame, files: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from docloom.jobs import corpus, knowledge, more, writing  # noqa: F401
+from docloom.jobs import corpus, knowledge, more, upkeep, writing  # noqa: F401
 from docloom.jobs.registry import ORACLES, QUERIES
 from tests.compare import rows
 from tests.conftest import SF
