@@ -152,6 +152,12 @@ def byte_tail(text: Column, size: int) -> Column:
     return F.when(F.octet_length(text) <= size, text).otherwise(F.ltrim(F.make_valid_utf8(tail), F.lit("�")))
 
 
+def byte_head(text: Column, size: int) -> Column:
+    """The first bytes of a text, without a broken last character."""
+    head = F.substring(text.cast("binary"), 1, size).cast("string")
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.rtrim(F.make_valid_utf8(head), F.lit("\ufffd")))
+
+
 def with_date(text: Column, date: Column) -> Column:
     """The front matter with last_updated set; a text without front matter stays."""
     line = F.concat(F.lit("last_updated: "), date)

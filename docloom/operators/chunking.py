@@ -1,8 +1,8 @@
 """Chunking: sections, paragraphs, next-fit packing, overlap and grouping.
 
-Packing is sequential within a document and runs as a fold over the document's
-own array; documents are independent, so nothing is shuffled but the chunks'
-own rows. Null and empty texts give no chunks.
+Packing is sequential within a document. It is a fold over the document's own array
+where that is short, and jumps over prefix sums where a document has many sections,
+which then stay rows (``packing.next_fit``). Null and empty texts give no chunks.
 """
 
 from __future__ import annotations
@@ -11,21 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import byte_tail, estimate_tokens, strategy
+from docloom.operators.packing import next_fit
+from docloom.session import materialize
 from docloom.settings import Settings
 
 HEADING = r"(?m)(?=^#{1,3} .+)"
+#: Documents of at most so many sections are packed by a fold over an array.
+FOLD = 512
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, title, body) of docs (doc_id, content): a section starts at a heading of level 1 to 3 and includes it.
+    """(doc_id, pos, title, body, of) of docs (doc_id, content): a section starts at a heading of level 1 to 3 and includes it; ``of``: the document's number of sections.
 
     Without headings, paragraphs are sections without titles.
     """
     trimmed = lambda x: F.trim(x, F.lit(" \n\t\r"))
     parts = F.when(F.col("content").rlike(r"(?m)^#{1,3} .+"), F.split("content", HEADING)).otherwise(F.split("content", r"\n{2,}"))
     parts = F.filter(F.transform(parts, trimmed), lambda x: F.length(x) > 0)
-    rows = docs.select("doc_id", F.posexplode(parts).alias("pos", "body"))
-    return rows.select("doc_id", "pos", F.trim(F.regexp_extract("body", r"^#{1,3} ([^\n]+)", 1)).alias("title"), "body")
+    rows = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").alias("of"), F.posexplode("parts").alias("pos", "body"))
+    return rows.select("doc_id", "pos", F.trim(F.regexp_extract("body", r"^#{1,3} ([^\n]+)", 1)).alias("title"), "body", "of")
 
 
 def _packed(pieces: Column, most: int, joiner: str) -> Column:
@@ -69,15 +73,19 @@ def room(s: Settings, ratio: float) -> int:
 
 
 def pack(parts: DataFrame, most: int) -> DataFrame:
-    """(doc_id, chunk, title, body, pos, tokens): each section or part of a long section with its chunk's number from 0.
+    """(doc_id, chunk, title, body, pos, part, tokens): each section (doc_id, pos, title, body, of) or part of a long section with its chunk's number from 0.
 
     Sections fill a chunk until the next doesn't fit. The parts of a section
     that is too long alone are chunks of their own.
     """
     tokens = estimate_tokens(F.col("body"))
     units = parts.withColumn("long", tokens > most)
-    units = units.select("doc_id", "pos", "title", "long", F.posexplode(F.when(F.col("long"), split_paragraphs(F.col("body"), most)).otherwise(F.array("body"))).alias("part", "body"))
+    units = units.select("doc_id", "pos", "title", "of", "long", F.posexplode(F.when(F.col("long"), split_paragraphs(F.col("body"), most)).otherwise(F.array("body"))).alias("part", "body"))
     rows = units.withColumn("tokens", estimate_tokens(F.col("body")))
+    return _folded(rows.where(F.col("of") <= FOLD), most).unionByName(_jumped(rows.where(F.col("of") > FOLD), most))
+
+
+def _folded(rows: DataFrame, most: int) -> DataFrame:
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "title", "body", "tokens", "long"))).alias("units"))
     kind = "struct<ids:array<bigint>,id:bigint,n:bigint,shut:boolean>"
     zero = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("shut")).cast(kind)
@@ -92,6 +100,18 @@ def pack(parts: DataFrame, most: int) -> DataFrame:
     return each.select("doc_id", F.col("z.chunk").alias("chunk"), F.col("z.u.title").alias("title"), F.col("z.u.body").alias("body"), F.col("z.u.pos").alias("pos"), F.col("z.u.part").alias("part"), F.col("z.u.tokens").alias("tokens"))
 
 
+def _jumped(rows: DataFrame, most: int) -> DataFrame:
+    rows = materialize(rows.select("doc_id", "pos", "part", "title", "body", "tokens", "long"), "units")
+    empty = F.lit(None).cast("long").alias("chunk")
+    if not rows.limit(1).count():
+        return rows.select("doc_id", empty, "title", "body", "pos", "part", "tokens")
+    n = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "part")) - 1).cast("long")
+    placed = materialize(rows.select("doc_id", "pos", "part", "tokens", "long", n.alias("n")), "places")
+    bins = next_fit(placed.select(F.col("doc_id").alias("key"), "n", "tokens", F.col("long").alias("alone")), most)
+    told = placed.select("doc_id", "pos", "part", "n").join(bins.select(F.col("key").alias("doc_id"), "n", F.col("bin").alias("chunk")), ["doc_id", "n"])
+    return rows.join(told, ["doc_id", "pos", "part"]).select("doc_id", "chunk", "title", "body", "pos", "part", "tokens")
+
+
 def header(name: Column, section: Column, total: Column, index: Column) -> Column:
     """The line that heads a chunk."""
     return F.format_string("[%s / %s / %d개 중 %d번째]", name, section, total, index)

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import json_array
+from docloom.functions.text import byte_head, estimate_tokens, json_array
+from docloom.operators.packing import next_fit
+from docloom.session import materialize
 
 Completion = Callable[[list[str]], list[str]]
 
@@ -45,6 +47,35 @@ def summarise(chunks: DataFrame, completion: Completion) -> DataFrame:
     return mapped(reduced(flat.unionByName(tree), ["doc_id"], "n"), F.col("prompt"), completion, ["doc_id"]).withColumnRenamed("answer", "summary")
 
 
+#: What stands between two answers of a prompt, in tokens, and a heading's share.
+GLUE = 8
+
+
+def summarised_within(chunks: DataFrame, completion: Completion, budget: int) -> DataFrame:
+    """(doc_id, summary, rounds) of chunks (doc_id, index, content): answers are packed in order into prompts of at most ``budget`` tokens, and their answers again, until a document has one.
+
+    An answer that is too long for the budget by itself is cut to half of it, so that two always fit and each round at least halves a document's answers.
+    """
+    half = max(1, (budget - 2 * GLUE) // 2)
+    fitted = lambda c: F.when(estimate_tokens(c) <= half, c).otherwise(byte_head(c, 4 * half))
+    rows = mapped(chunks, byte_head(F.col("content"), 4 * budget), completion, ["doc_id", "index"]).select("doc_id", F.col("index").cast("long").alias("at"), fitted(F.col("answer")).alias("answer"))
+    done, k = None, 0
+    while True:
+        n = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+        rows = materialize(rows.select("doc_id", n.cast("long").alias("n"), "answer"), f"round-{k}")
+        several = rows.groupBy("doc_id").agg(F.max("n").alias("last"))
+        single = rows.join(several.where("last = 0"), "doc_id", "left_semi").select("doc_id", F.col("answer").alias("summary"), F.lit(k).alias("rounds"))
+        done = single if done is None else done.unionByName(single)
+        rest = rows.join(several.where("last > 0"), "doc_id", "left_semi")
+        if not rest.limit(1).count():
+            return done
+        bins = next_fit(rest.select(F.col("doc_id").alias("key"), "n", (estimate_tokens(F.col("answer")) + GLUE).alias("tokens"), F.lit(False).alias("alone")), budget)
+        grouped = rest.join(bins.withColumnRenamed("key", "doc_id"), ["doc_id", "n"]).withColumn("number", F.col("n") + 1)
+        prompts = reduced(grouped, ["doc_id", "bin"], "number")  # as large as the budget
+        rows = mapped(prompts, F.col("prompt"), completion, ["doc_id", "bin"]).select("doc_id", F.col("bin").alias("at"), fitted(F.col("answer")).alias("answer"))
+        k += 1
+
+
 CONCEPT = "array<struct<name:string,summary:string,existing_match:string,match_type:string>>"
 
 
