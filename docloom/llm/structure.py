@@ -30,10 +30,9 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -324,59 +323,71 @@ def _choices(costs: list[int], audits: list[str], later: list[int]) -> list[int]
     return [min((costs[4 * e + x] + later[x], audits[4 * e + x], x) for x in _STATES if costs[4 * e + x] < _INF)[2] if min(costs[4 * e : 4 * e + 4]) < _INF else 0 for e in _STATES]
 
 
+def _each(df: DataFrame, function: Callable[[dict], Iterator[dict]], schema: dict[str, pa.DataType]) -> DataFrame:
+    """The rows that a function makes of each row."""
+    names = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>"}
+    types = pa.schema(list(schema.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out = [x for r in batch.to_pylist() for x in function(r)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, types)
+
+    return df.mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in schema.items()))
+
+
 def _joined(parts: DataFrame) -> DataFrame:
-    """(part, seq, entry, audit, cost) of the blocks (conv_id, part, seq, costs, audits) of conversations that aren't whole."""
+    """(part, seq, entry, audit, cost) of the blocks (conv_id, part, seq, costs, audits) of conversations that aren't whole.
+
+    A stretch is what one partition has of a conversation; a conversation has at most as many as there are partitions.
+    """
     end = [INSERT * len(x) for x in CLOSING]
     cells = parts.select(F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("n")).alias("_c"), "part", "seq", "costs", "audits")
+    stretches = materialize(cells.groupBy("_c", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "costs", "audits"))).alias("b")), "stretches")
+    listed = lambda df, *columns: df.groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("part", *columns))).alias("s"))
+    key = {"_c": pa.string(), "part": pa.int32()}
+
+    def product(r: dict) -> Iterator[dict]:
+        yield {"_c": r["_c"], "part": r["part"], "costs": _product([x["costs"] for x in r["b"]])}
+
+    def later(r: dict) -> Iterator[dict]:
+        for x, value in zip(r["s"], _later([x["costs"] for x in r["s"]], end), strict=True):
+            yield {"_c": r["_c"], "part": x["part"], "later": value}
 
-    def product(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        return pd.DataFrame({"_c": group["_c"].iloc[:1], "part": group["part"].iloc[:1], "costs": [_product(list(group["costs"]))]})
-
-    def later(group: pd.DataFrame) -> pd.DataFrame:  # one row for each partition that the conversation reaches
-        group = group.sort_values("part")
-        values = _later([list(map(int, x)) for x in group["costs"]], end)
-        return group[["_c", "part"]].assign(later=values)
-
-    stretches = materialize(cells.select("_c", "part", "seq", "costs").groupBy("_c", "part").applyInPandas(product, "_c string, part int, costs array<long>"), "stretches")
-    after = materialize(stretches.groupBy("_c").applyInPandas(later, "_c string, part int, later array<long>"), "after")
-    known = cells.join(small_or_none(after, BROADCAST), ["_c", "part"])
-
-    def walk(group: pd.DataFrame, entries: list[int]) -> Iterator[tuple[int, list]]:
-        """For each state before the stretch: the state after it and its blocks' choices."""
-        group = group.sort_values("seq")
-        costs, audits = [list(map(int, x)) for x in group["costs"]], [list(x) for x in group["audits"]]
-        values = _later(costs, list(map(int, group["later"].iloc[0])))
-        choices = [_choices(c, a, v) for c, a, v in zip(costs, audits, values, strict=True)]
+    def walk(r: dict, entries: list[int]) -> Iterator[tuple[int, list[dict]]]:
+        """For each state before a stretch: the state after it and its blocks' choices."""
+        values = _later([x["costs"] for x in r["b"]], r["later"])
+        choices = [_choices(x["costs"], x["audits"], v) for x, v in zip(r["b"], values, strict=True)]
         for e in entries:
             state, rows = e, []
-            for seq, c, a, choice in zip(group["seq"], costs, audits, choices, strict=True):
-                x = choice[state]
-                rows.append((seq, state, a[4 * state + x], c[4 * state + x], x))
-                state = x
+            for x, choice in zip(r["b"], choices, strict=True):
+                to = choice[state]
+                rows.append({"part": r["part"], "seq": x["seq"], "entry": state, "audit": x["audits"][4 * state + to], "cost": x["costs"][4 * state + to]})
+                state = to
             yield state, rows
 
-    def mapping(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"_c": group["_c"].iloc[:1], "part": group["part"].iloc[:1], "exits": [[s for s, _ in walk(group, list(_STATES))]]})
-
-    def entry(group: pd.DataFrame) -> pd.DataFrame:  # one row for each partition, again
-        group, state, out = group.sort_values("part"), EMPTY, []
-        for exits in group["exits"]:
-            out.append(state)
-            state = int(exits[state])
-        return group[["_c", "part"]].assign(entry=out, last=[False] * (len(out) - 1) + [True])
-
-    def edits(group: pd.DataFrame) -> pd.DataFrame:
-        state, rows = next(walk(group, [int(group["entry"].iloc[0])]))
-        out = pd.DataFrame(rows, columns=["seq", "entry", "audit", "cost", "exit"])
-        if group["last"].iloc[0]:
-            out.loc[out.index[-1], "audit"] += CLOSING[state]
-            out.loc[out.index[-1], "cost"] += end[state]
-        return out.assign(part=group["part"].iloc[0])[["part", "seq", "entry", "audit", "cost"]]
-
-    exits = materialize(known.groupBy("_c", "part").applyInPandas(mapping, "_c string, part int, exits array<int>"), "exits")
-    entries = materialize(exits.groupBy("_c").applyInPandas(entry, "_c string, part int, entry int, last boolean"), "entries")
-    return known.join(small_or_none(entries, BROADCAST), ["_c", "part"]).groupBy("_c", "part").applyInPandas(edits, "part int, seq long, entry int, audit string, cost long")
+    def exits(r: dict) -> Iterator[dict]:
+        yield {"_c": r["_c"], "part": r["part"], "exits": [state for state, _ in walk(r, list(_STATES))]}
+
+    def entries(r: dict) -> Iterator[dict]:
+        state = EMPTY
+        for k, x in enumerate(r["s"]):
+            yield {"_c": r["_c"], "part": x["part"], "begin": state, "last": k + 1 == len(r["s"])}
+            state = x["exits"][state]
+
+    def edits(r: dict) -> Iterator[dict]:
+        state, rows = next(walk(r, [r["begin"]]))
+        if r["last"]:
+            rows[-1]["audit"] += CLOSING[state]
+            rows[-1]["cost"] += end[state]
+        yield from rows
+
+    after = materialize(_each(listed(_each(stretches, product, key | {"costs": pa.list_(pa.int64())}), "costs"), later, key | {"later": pa.list_(pa.int64())}), "after")
+    known = stretches.join(small_or_none(after, BROADCAST), ["_c", "part"])
+    begins = materialize(_each(listed(_each(known, exits, key | {"exits": pa.list_(pa.int32())}), "exits"), entries, key | {"begin": pa.int32(), "last": pa.bool_()}), "begins")
+    types = {"part": pa.int32(), "seq": pa.int64(), "entry": pa.int32(), "audit": pa.string(), "cost": pa.int64()}
+    return _each(known.join(small_or_none(begins, BROADCAST), ["_c", "part"]), edits, types)
 
 
 def _edited(blocks: DataFrame) -> DataFrame:
