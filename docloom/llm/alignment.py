@@ -8,8 +8,8 @@ that overlap. All pairs of a group's tokens are linked.
 The text is cut before each single space between two visible characters. Both
 tokenizers begin a token there whatever stands around it (which their files must state:
 byte-level pairs after the known pattern, and pieces in which a space only comes
-first), so each segment is encoded and aligned once and remembered; a text's tokens are
-those of its segments. If a segment isn't given back byte by byte, the whole text
+first), so each segment is encoded and aligned once in a chunk of documents, many at a
+time; a text's tokens are those of its segments. If a segment isn't given back byte by byte, the whole text
 is encoded and compared. Special tokens' strings are plain text.
 
 Documents are worked on in chunks of a bounded size of text. A chunk keeps which of its
@@ -28,6 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +45,22 @@ _SPACE = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: A pair's two ids as one number.
 SHIFT = 32
+#: So many characters of segments are encoded at once; a group of more links is long.
+BATCH, LONG = 1 << 16, 4096
 
 
 @dataclass(frozen=True)
 class Alignment:
-    """``bytes_file``: byte-level tokenizer, ``pieces_file``: model of pieces. A worker remembers so many segments; a chunk ends with so many bytes of text."""
+    """``bytes_file``: byte-level tokenizer, ``pieces_file``: model of pieces; a chunk ends with so many characters of text."""
 
     bytes_file: str
     pieces_file: str
-    remember: int = 400_000
-    chunk: int = 16 << 20
+    chunk: int = 8 << 20
 
 
-def gallop(short: list[int], long: list[int]) -> Iterator[tuple[int, int]]:
-    """The places (in short, in long) of the numbers that two ascending lists share."""
-    low, size = 0, len(long)
+def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
+    """The places, in short and in long, of the numbers that two ascending lists share; each number of short is searched from where the last one was found."""
+    low, size, ours, theirs = 0, len(long), [], []
     for i, x in enumerate(short):
         step = 1
         while low + step <= size and long[low + step - 1] < x:
@@ -71,101 +73,97 @@ def gallop(short: list[int], long: list[int]) -> Iterator[tuple[int, int]]:
             else:
                 high = middle
         if low == size:
-            return
+            break
         if long[low] == x:
-            yield i, low
+            ours.append(i)
+            theirs.append(low)
+    return ours, theirs
 
 
-def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """The ranges of tokens (a from, a to, b from, b to) between shared ends."""
-    turned = len(a_ends) > len(b_ends)
-    out, a, b = [], 0, 0
-    for i, j in gallop(b_ends, a_ends) if turned else gallop(a_ends, b_ends):
-        x, y = (j + 1, i + 1) if turned else (i + 1, j + 1)
-        out.append((a, x, b, y))
-        a, b = x, y
-    return out
+def groups(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of either list end with each shared end: the ranks of the ends, which cut both lists into groups."""
+    if len(a_ends) > len(b_ends):
+        b, a = gallop(b_ends, a_ends)
+    else:
+        a, b = gallop(a_ends, b_ends)
+    return np.array(a, dtype=np.int64) + 1, np.array(b, dtype=np.int64) + 1
 
 
 @dataclass
 class Aligned:
-    """A segment's tokens: how many, groups as text, and links by pair."""
+    """Segments' tokens: numbers of tokens, groups and links of each, its groups as text, and its links by pair."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    shown: str
-    links: dict[int, int]
+    totals: np.ndarray
+    shown: list[str]
+    segment: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
 
 
 class Aligner:
-    """Encodes and aligns segments, and remembers them."""
+    """Encodes and aligns texts, and segments many at a time."""
 
     def __init__(self, p: Alignment):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a, self.b, self.p = Tokenizer.from_file(p.bytes_file), sentencepiece.SentencePieceProcessor(model_file=p.pieces_file), p
+        self.a, self.b = Tokenizer.from_file(p.bytes_file), sentencepiece.SentencePieceProcessor(model_file=p.pieces_file)
         self.a.encode_special_tokens = True
-        config = json.loads(self.a.to_str())
-        letters = {}
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: these stand for themselves, others follow 255
-        for k in range(256):
-            letters[chr(k if k in shown else 256 + len([x for x in range(k) if x not in shown]))] = k
-        self.a_bytes = {i: bytes([letters[c] for c in t]) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
-        pieces_ = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(t)) else t.replace(_SPACE, " ").encode() for i, t in enumerate(pieces_)]
+        config, vocab = json.loads(self.a.to_str()), self.a.get_vocab()
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # the byte-level alphabet: these stand for themselves, others follow 255
+        letters = {chr(k): k for k in shown} | {chr(256 + i): k for i, k in enumerate(k for k in range(256) if k not in shown)}
+        self.a_bytes: list[bytes] = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes([letters[c] for c in t]) if all(c in letters for c in t) else t.encode()
+        named = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(t)) else t.replace(_SPACE, " ").encode() for i, t in enumerate(named)]
+        self.a_names, self.b_names = [str(k) for k in range(len(self.a_bytes))], [str(k) for k in range(len(self.b_bytes))]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         split = config["pre_tokenizer"] or {}
         known = config["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and config["model"]["type"] == "BPE"
-        self.cuts = bool(known and not any(_SPACE in t.lstrip(_SPACE) for t in pieces_))
-        self.known: dict[str, Aligned | None] = {}
-
-    def encoded(self, text: str) -> tuple[list[int], list[int]]:
-        """Both lists of ids of a text that begins with a space."""
-        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-
-    def aligned(self, text: str) -> Aligned | None:
-        """Align a text that begins with a space; None if either tokenizer doesn't give its bytes back."""
-        a, b = self.encoded(text)
-        a_tokens, b_tokens, data = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b], text.encode()
-        if b"".join(a_tokens) != data or b"".join(b_tokens) != data:
-            return None
-        ends = [np.cumsum([len(t) for t in tokens]).tolist() for tokens in (a_tokens, b_tokens)]
-        ranges, links, shown = groups(*ends), {}, []
-        for a0, a1, b0, b1 in ranges:
-            shown.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-            if a1 - a0 == 1 == b1 - b0:
-                pair = a[a0] << SHIFT | b[b0]
-                links[pair] = links.get(pair, 0) + 1
-                continue
-            ours, theirs = _counted(a[a0:a1]), _counted(b[b0:b1])
-            for x, n in ours.items():
-                for y, m in theirs.items():
-                    pair = x << SHIFT | y
-                    links[pair] = links.get(pair, 0) + n * m
-        return Aligned(len(a), len(b), len(ranges), ";".join(shown), links)
+        self.cuts = bool(known and not any(_SPACE in t.lstrip(_SPACE) for t in named))
 
     def segments(self, text: str) -> list[str]:
-        """The parts of a non-empty text, with a space before it, that are encoded by themselves."""
+        """The parts of a text, with a space before it, that are encoded by themselves."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def remembered(self, segment: str) -> Aligned | None:
-        """A segment's alignment."""
-        if segment not in self.known:
-            if len(self.known) >= self.p.remember:
-                self.known.clear()
-            found = self.aligned(segment)
-            if len(segment) > 200:
-                return found
-            self.known[segment] = found
-        return self.known[segment]
-
-
-def _counted(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for x in ids:
-        out[x] = out.get(x, 0) + 1
-    return out
+    def aligned(self, segments: list[str]) -> Aligned | None:
+        """Align one text that begins with a space, or segments that the cut allows together; None if either tokenizer doesn't give their bytes back."""
+        text = "".join(segments)
+        a, b, data = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+        if b"".join([self.a_bytes[x] for x in a]) != data or b"".join([self.b_bytes[x] for x in b]) != data:
+            return None
+        a_stop, b_stop = groups(np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist())
+        ends = np.cumsum(self.a_sizes[a])[a_stop - 1]
+        last = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in segments])) + 1  # groups up to each segment's end
+        n_groups = np.diff(last, prepend=0)
+        own = np.repeat(np.arange(len(segments)), n_groups)
+        n_a, n_b = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
+        links = n_a * n_b
+        totals = np.stack([np.diff(np.concatenate([[0], np.cumsum(x)])[last], prepend=0) for x in (n_a, n_b, np.ones_like(n_a), links)], axis=1)
+
+        # each group's pairs, but for long groups, whose equal tokens are counted first
+        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        size = np.where(links > LONG, 0, links)
+        group = np.repeat(np.arange(len(size)), size)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        pairs = [a_ids[(a_stop - n_a)[group] + k // n_b[group]] << SHIFT | b_ids[(b_stop - n_b)[group] + k % n_b[group]]]
+        where, times = [own[group]], [np.ones(len(group), dtype=np.int64)]
+        for g in np.flatnonzero(links > LONG):
+            x, n = np.unique(a_ids[a_stop[g] - n_a[g] : a_stop[g]], return_counts=True)
+            y, m = np.unique(b_ids[b_stop[g] - n_b[g] : b_stop[g]], return_counts=True)
+            pairs.append((x[:, None] << SHIFT | y).reshape(-1))
+            times.append((n[:, None] * m).reshape(-1))
+            where.append(np.full(len(x) * len(y), own[g]))
+        segment, pair, times = np.concatenate(where), np.concatenate(pairs), np.concatenate(times)
+
+        ours, theirs = [self.a_names[x] for x in a], [self.b_names[x] for x in b]
+        shown, x0, y0 = [], 0, 0
+        for x1, y1 in zip(a_stop.tolist(), b_stop.tolist(), strict=True):
+            shown.append(f"{ours[x0]}|{theirs[y0]}" if x1 - x0 == 1 == y1 - y0 else ",".join(ours[x0:x1]) + "|" + ",".join(theirs[y0:y1]))
+            x0, y0 = x1, y1
+        cuts = [0, *last.tolist()]
+        return Aligned(totals, [";".join(shown[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], segment, pair, times)
 
 
 _ALIGNERS: dict[Alignment, Aligner] = {}
@@ -183,76 +181,87 @@ class _Chunk:
 
     def __init__(self, own: Aligner):
         self.own = own
+        #: segments' places; -1: not given back
         self.places: dict[str, int] = {}
         self.pairs: dict[int, int] = {}
-        self.seg_pairs, self.seg_times, self.seg_sizes, self.n, self.shown = [], [], [], [], []
+        self.seg_pairs, self.seg_times, self.seg_sizes = [], [], []
+        self.totals, self.shown = [], []
         self.doc_segs, self.doc_times, self.doc_sizes, self.docs = [], [], [], []
-        self.held = np.zeros(1024, dtype=np.int64)
+        self.held = np.zeros(0, dtype=np.int64)
         self.bytes = 0
 
-    def _segment(self, key: str, found: Aligned) -> int:
-        place = self.places[key] = len(self.places)
-        pairs = self.pairs
-        ids = np.array([pairs.setdefault(x, len(pairs)) for x in found.links], dtype=np.int32)
-        self.seg_pairs.append(ids)
-        self.seg_times.extend(found.links.values())
-        self.seg_sizes.append(len(ids))
-        self.n.append((found.n_a, found.n_b, found.n_groups, sum(found.links.values())))
-        self.shown.append(found.shown)
-        return place
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        """A document's segments, or none if its bytes aren't given back."""
-        own, places = self.own, self.places
-        segments = own.segments(text) if text else []
-        try:
+    def _keep(self, found: Aligned) -> int:
+        """Take segments in; the place of the first."""
+        pairs, first = self.pairs, len(self.shown)
+        known, back = np.unique(found.pair, return_inverse=True)
+        ids = np.array([pairs.setdefault(x, len(pairs)) for x in known.tolist()], dtype=np.int64)
+        each, back = np.unique(found.segment << SHIFT | ids[back], return_inverse=True)
+        self.seg_pairs.append((each & ((1 << SHIFT) - 1)).astype(np.int32))
+        self.seg_times.append(np.bincount(back, found.times, len(each)).astype(np.int64))
+        self.seg_sizes.append(np.bincount(each >> SHIFT, minlength=len(found.shown)).astype(np.int32))
+        self.totals.append(found.totals)
+        self.shown += found.shown
+        return first
+
+    def _learn(self, segments: list[str]) -> None:
+        """Align segments that are new here, many at a time; if one isn't given back, one by one."""
+        batch, size = [], 0
+        for k, x in enumerate(segments, 1):
+            batch.append(x)
+            size += len(x)
+            if size >= BATCH or k == len(segments):
+                if found := self.own.aligned(batch):
+                    self.places.update(zip(batch, range(first := self._keep(found), first + len(batch)), strict=True))
+                else:
+                    for y in batch:
+                        one = self.own.aligned([y])
+                        self.places[y] = self._keep(one) if one else -1
+                batch, size = [], 0
+
+    def add(self, ids: list[int | None], texts: list[str]) -> None:
+        """Some documents' segments; none of a document whose bytes aren't given back."""
+        split = [self.own.segments(x) if x else [] for x in texts]
+        self._learn([x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.places])
+        places, shown, whole = self.places, self.shown, []
+        for segments, text in zip(split, texts, strict=True):
             at = [places[x] for x in segments]
-        except KeyError:
-            at = []
-            for x in segments:
-                place = places.get(x)
-                if place is None:
-                    found = own.remembered(x)
-                    if found is None:
-                        at = None
-                        break
-                    place = self._segment(x, found)
-                at.append(place)
-        if at is None:  # one part isn't given back: ask the whole text
-            found = own.aligned(" " + text)
-            at = [] if found is None else [self._segment(f"\0{len(self.places)}", found)]
-        at = np.array(at, dtype=np.int64)
-        where, times = np.unique(at, return_counts=True)
-        totals = np.array([self.n[k] for k in where], dtype=np.int64).reshape(-1, 4).T @ times if len(where) else np.zeros(4, dtype=np.int64)
-        digest = hashlib.sha256(";".join([self.shown[k] for k in at]).encode()).hexdigest() if len(at) else ""
-        self.docs.append((doc_id, *totals.tolist(), digest))
-        self.doc_segs.append(where.astype(np.int32))
-        self.doc_times.append(times.astype(np.int32))
-        self.doc_sizes.append(len(where))
-        if len(where):
-            held = np.unique(np.concatenate([self.seg_pairs[k] for k in where]))
-            if len(self.pairs) > len(self.held):
-                self.held = np.concatenate([self.held, np.zeros(max(len(self.held), len(self.pairs)), dtype=np.int64)])
-            self.held[held] += 1
-        self.bytes += len(text)
-
-    def row(self, chunk: int) -> dict:
-        flat = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
-        return {
-            "chunk": chunk, "docs": self.docs, "doc_sizes": np.array(self.doc_sizes, dtype=np.int32), "doc_segs": flat(self.doc_segs), "doc_times": flat(self.doc_times),
-            "seg_sizes": np.array(self.seg_sizes, dtype=np.int32), "seg_pairs": flat(self.seg_pairs), "seg_times": np.array(self.seg_times, dtype=np.int32),
-            "pairs": np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs)), "held": self.held[: len(self.pairs)],
-        }
+            if -1 in at:  # the parts aren't given back: the whole text might be
+                found = self.own.aligned([" " + text])
+                at = [self._keep(found)] if found else []
+            whole.append(at)
+        for parts in (self.seg_pairs, self.seg_times, self.seg_sizes, self.totals):
+            parts[:] = [np.concatenate(parts)] if parts else []
+        totals, sizes, pairs = (x[0] if x else np.empty(0, dtype=np.int64) for x in (self.totals, self.seg_sizes, self.seg_pairs))
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        self.held = np.concatenate([self.held, np.zeros(len(self.pairs) - len(self.held), dtype=np.int64)])
+        for doc_id, text, at in zip(ids, texts, whole, strict=True):
+            where, times = np.unique(np.array(at, dtype=np.int64), return_counts=True)
+            digest = hashlib.sha256(";".join([shown[k] for k in at]).encode()).hexdigest() if len(at) else ""
+            self.docs.append((doc_id, *(times @ totals[where] if len(where) else np.zeros(4, dtype=np.int64)).tolist(), digest))
+            self.doc_segs.append(where.astype(np.int32))
+            self.doc_times.append(times.astype(np.int32))
+            self.doc_sizes.append(len(where))
+            own = sizes[where].astype(np.int64)
+            every = np.repeat(starts[where] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            self.held[np.unique(pairs[every])] += 1
+            self.bytes += len(text)
+
+    def row(self, chunk: int) -> pa.RecordBatch:
+        docs = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*self.docs, strict=True), _DOC, strict=True)], [k for k, _ in _DOC])
+        segs = [x[0] if x else np.empty(0, dtype=t) for x, t in ((self.seg_sizes, np.int32), (self.seg_pairs, np.int32), (self.seg_times, np.int64))]
+        flat = [np.array(self.doc_sizes, dtype=np.int32), np.concatenate(self.doc_segs), np.concatenate(self.doc_times), *segs]
+        columns = [pa.array([chunk], pa.int64()), _one(docs), *map(_one, flat), _one(np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))), _one(self.held)]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "docs", *_LISTS, "pairs", "held"])
 
 
 _DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
 _LISTS = ["doc_sizes", "doc_segs", "doc_times", "seg_sizes", "seg_pairs", "seg_times"]
-_CHUNK = "chunk long, docs array<struct<doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string>>, " + ", ".join(f"{c} array<int>" for c in _LISTS) + ", pairs array<long>, held array<long>"
+_CHUNK = "chunk long, docs array<struct<doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string>>, " + ", ".join(f"{c} array<{'long' if c == 'seg_times' else 'int'}>" for c in _LISTS) + ", pairs array<long>, held array<long>"
 
 
-def _one(values: np.ndarray) -> pa.Array:
+def _one(values: np.ndarray | pa.Array) -> pa.Array:
     """A column of one row, a list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
 
 
 def chunks(docs: DataFrame, p: Alignment) -> DataFrame:
@@ -261,28 +270,20 @@ def chunks(docs: DataFrame, p: Alignment) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = aligner(p), TaskContext.get().partitionId(), 0
         chunk = _Chunk(own)
-
-        def close() -> pa.RecordBatch:
-            row = chunk.row(part << 32 | seq)
-            docs_ = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*row["docs"], strict=True), _DOC, strict=True)], [k for k, _ in _DOC])
-            columns = [pa.array([row["chunk"]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_), *[_one(row[c]) for c in _LISTS], _one(row["pairs"]), _one(row["held"])]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "docs", *_LISTS, "pairs", "held"])
-
         for batch in pieces(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_strings(batch), strict=True):
-                chunk.add(doc_id, text)
-                if chunk.bytes >= p.chunk:
-                    yield close()
-                    chunk, seq = _Chunk(own), seq + 1
+            chunk.add(batch.column(0).to_pylist(), text_strings(batch))
+            if chunk.bytes >= p.chunk:
+                yield chunk.row(part << 32 | seq)
+                chunk, seq = _Chunk(own), seq + 1
         if chunk.docs:
-            yield close()
+            yield chunk.row(part << 32 | seq)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CHUNK)
 
 
 def pair_counts(parts: DataFrame) -> DataFrame:
     """(pair, n, best): how many documents hold each pair, from chunks' pairs (pair, held), and whether no other of its first id is held by more."""
-    counts = materialize(parts.groupBy("pair").agg(F.sum("held").alias("n")), "pairs")
+    counts = materialize(parts.where("held > 0").groupBy("pair").agg(F.sum("held").alias("n")), "pairs")
     first = F.shiftright("pair", SHIFT)
     most = counts.groupBy(first.alias("_a")).agg(F.max("n").alias("_most"))  # one row for each id of a vocabulary
     return counts.join(small_or_none(materialize(most, "most"), 1_000_000), first == F.col("_a")).select("pair", "n", (F.col("n") == F.col("_most")).alias("best"))
@@ -297,7 +298,8 @@ def align(docs: DataFrame, p: Alignment) -> tuple[DataFrame, DataFrame]:
     made = materialize(chunks(docs, p), "chunks")
     parts = made.select("chunk", F.posexplode(F.arrays_zip("pairs", "held")).alias("k", "x")).select("chunk", "k", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     counts = materialize(pair_counts(parts), "counts")
-    values = parts.select("chunk", "k", "pair").join(counts, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "n", "best"))).alias("v"))  # a chunk's pairs
+    known = F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best"))  # all of a chunk's pairs, also of documents that weren't given back
+    values = parts.select("chunk", "k", "pair").join(counts, "pair", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(known)).alias("v"))
     values = values.select("chunk", F.transform("v", lambda x: x["n"]).alias("n"), F.transform("v", lambda x: x["best"]).alias("best"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
