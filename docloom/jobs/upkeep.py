@@ -1,14 +1,17 @@
-"""Queries over stored indexes: kept up to date in segments, and trigrams."""
+"""Queries over what is kept up to date: indexes in segments, trigrams, ledgers of batches and the steps after them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.jobs.corpus import _SCORED, _TERMS, QUESTION, _bm25
+from docloom.jobs.corpus import _LINKS, _SCORED, _TERMS, QUESTION, _bm25
 from docloom.jobs.registry import query
-from docloom.operators import grams, index
-from docloom.session import table
+from docloom.operators import batches, compiling, grams, index, org, outputs
+from docloom.session import scratch, table
+from docloom.sources import ingest, views
+from docloom.sources.views import with_views
+from docloom.streaming import steps
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,3 +55,93 @@ def grams_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grams_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = grams.write_grams(table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("_", "lang", "source").alias("stem")))
     return grams.relevant(own, QUESTION).withColumn("score", F.round("score", 6))
+
+
+# Batches that can stop, and what follows them
+
+
+def failing(path: str, content: str, attempt: int) -> str:
+    """A stand-in for compiling a page: some contents can't be compiled, others meet a rate limit at first."""
+    k = int(path)
+    if k % 11 == 0:
+        raise ValueError("broken page")
+    if k % 7 == 0 and attempt <= k % 3:
+        raise RuntimeError("429: rate limit")
+    return f"{len(content)} characters"
+
+
+_OUTCOME = "CASE WHEN doc_id % 11 = 0 THEN 'broken' WHEN doc_id % 7 = 0 AND doc_id % 3 >= 2 THEN 'limited' ELSE 'done' END"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS path, CASE {_OUTCOME} WHEN 'done' THEN length(coalesce(text, '')) || ' characters' END AS result, CASE {_OUTCOME} WHEN 'broken' THEN 'ValueError: broken page' WHEN 'limited' THEN 'RuntimeError: 429: rate limit' END AS error,
+CASE WHEN doc_id % 11 = 0 OR doc_id % 7 <> 0 THEN 1 ELSE least(doc_id % 3 + 1, 2) END::INT AS attempt FROM documents""")
+def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's result or error, after two attempts."""
+    return batches.run(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")), failing, scratch(spark, "ledger"), slices=4, attempts=2)
+
+
+def _stepped(spark: SparkSession, sf_dir: str) -> steps.Steps:
+    """All pages in four arrivals: first as they were before, without links, then as they are."""
+    pages = views.md_docs(spark, sf_dir)
+    old = pages.where("doc_id % 2 = 0").withColumn("content", F.lit("---\ntitle: old\n---\n\nNothing yet.\n"))
+    folder, own, state = scratch(spark, "arrivals"), scratch(spark, "steps"), scratch(spark, "steps-state")
+    for arrival in (old, pages.where("doc_id % 3 = 0"), pages.where("doc_id % 3 = 1"), pages.where("doc_id % 3 = 2")):
+        arrival.write.mode("append").parquet(folder)
+        done = steps.run(spark.readStream.schema(pages.schema).parquet(folder), own, state)
+    return done
+
+
+@query(with_views(f", {_LINKS} SELECT slug, pos::BIGINT AS pos, target FROM li", "md_docs"))
+def after_batch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stepped(spark, sf_dir).edges().select("slug", F.col("pos").cast("long").alias("pos"), "target")
+
+
+@query(with_views(", a AS (SELECT doc_id, 0 AS batch, 0 AS n FROM md_docs WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, doc_id % 3 + 1, 2 FROM md_docs) SELECT batch::BIGINT AS batch, count(*) AS n_pages, sum(n)::BIGINT AS n_edges FROM a GROUP BY batch", "md_docs"))
+def after_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stepped(spark, sf_dir).log()
+
+
+# Files of repositories, known members, summaries under a budget
+
+_FILES = "SELECT p_brand AS repo, concat('src', p_size % 4, '/d', p_size % 3, '/', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.bin' WHEN 3 THEN '.txt' ELSE '.ts' END) AS path, p_partkey * 7919 % 120000 AS size FROM part"
+
+
+@query(f"""WITH RECURSIVE f AS ({_FILES}), p AS (SELECT *, ceil(size / 4.0)::BIGINT + 1 AS tokens, len(string_split(path, '/')) - 1 AS depth FROM f WHERE size <= 100000 AND NOT ends_with(path, '.bin')),
+q AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN regexp_matches(path, '[.](md|txt)$') THEN 5 ELSE 10 END + depth, size, path) AS n FROM p QUALIFY n <= 40),
+r AS (SELECT repo, n, tokens, path, true AS taken, 60000 - tokens AS remaining FROM q WHERE n = 1
+  UNION ALL SELECT q.repo, q.n, q.tokens, q.path, q.tokens <= r.remaining, CASE WHEN q.tokens <= r.remaining THEN r.remaining - q.tokens ELSE r.remaining END FROM r JOIN q ON q.repo = r.repo AND q.n = r.n + 1)
+SELECT repo, path, n::INT AS n, tokens, taken FROM r""")
+def repository_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.sql(_FILES.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return ingest.chosen_files(files.select("repo", "path", "size", (F.ceil(F.col("size") / 4) + 1).cast("long").alias("tokens")))
+
+
+_MEMBERS = "concat('[{\"canonical\": \"c', o_orderkey % 7, '\", \"members\": [\"m', o_orderkey % 50, '\", \"m', o_custkey % 60, '\", \"ghost', o_orderkey % 3, '\", \" m', o_custkey % 45, ' \"]}]')"
+_KNOWN = "SELECT concat('m', p_partkey) AS name FROM part WHERE p_partkey % 4 > 0"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS source, {_MEMBERS} AS output FROM orders), m AS (SELECT source, unnest(['m' || source % 50, regexp_extract(output, '"(m[0-9]+)", "ghost', 1), regexp_extract(output, '" (m[0-9]+) "', 1)]) AS name, unnest([0, 1, 3]) AS spot, regexp_extract(output, '"(c[0-9]+)"', 1) AS canonical FROM a),
+k AS (SELECT source, canonical, string_agg(name, ',' ORDER BY spot) AS members, count(*) AS n FROM m WHERE name IN ({_KNOWN}) GROUP BY ALL) SELECT source, canonical, members FROM k WHERE n >= 2""")
+def groups_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate groups of answers that name members nobody knows."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.expr(_MEMBERS).alias("output"))
+    known = spark.sql(_KNOWN.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return outputs.parse_groups(rows, known).select("source", "canonical", F.array_join("members", ",").alias("members"))
+
+
+@query("WITH a AS (SELECT conv_id AS doc_id, turn, substring(regexp_extract(trim(coalesce(text, '')), '[^\\n]*$'), 1, 40) AS s FROM conversations WHERE coalesce(text, '') <> '') SELECT doc_id, count(*) AS n FROM a GROUP BY doc_id".replace("\\\\", "\\"))
+def reduce_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to all turns, reduced in rounds under a budget by a model that keeps each answer's mark, counted."""
+    turns = table(spark, sf_dir, "conversations").where("coalesce(text, '') <> ''").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("index"), F.concat(F.lit("@ "), "text").alias("content"))
+    marks = lambda prompts: ["@" * p.count("@") for p in prompts]
+    return compiling.summarised_within(turns, marks, 60).select("doc_id", F.length("summary").cast("long").alias("n"))
+
+
+_TITLES = "concat(CASE doc_id % 5 WHEN 0 THEN '한국 ' WHEN 1 THEN '가나 ' WHEN 2 THEN '' WHEN 3 THEN upper(lang) ELSE concat(doc_id % 10, '. ') END, substring(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]+', ' '{all}), 1, 12), ' ', doc_id)"
+
+
+@query(f"SELECT title, row_number() OVER (ORDER BY title COLLATE ko, title)::INT AS pos FROM (SELECT {_TITLES.replace('{all}', ", 'g'")} AS title FROM documents)")
+def titles_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All titles with their place in Korean order; places within ranges of titles, then sums over the ranges before."""
+    titles = _docs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select(F.expr(_TITLES.replace("{all}", "")).alias("title"))
+    return org.placed_by_title(titles)

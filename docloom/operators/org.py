@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import materialize
+
 #: What a role may do.
 PERMISSIONS = {"admin": ("read", "write", "delete", "manage"), "editor": ("read", "write"), "viewer": ("read",)}
 
@@ -55,10 +57,26 @@ def shared_pages(pages: DataFrame) -> DataFrame:
     return rows.select("slug", F.size("v").cast("long").alias("n_versions"), F.when(F.size("v") == 1, F.col("v")[0]["content"]).otherwise(many).alias("content"))
 
 
+def title_order(title: Column, collation: str = "ko") -> Column:
+    """What titles are ordered by: marks and digits, then Hangul and Han, then Latin, as a Korean reader expects."""
+    return F.collate(title, collation)
+
+
+def placed_by_title(rows: DataFrame) -> DataFrame:
+    """Rows (title) with their place from 1 in the order of titles: places within ranges of titles, and the sizes of the ranges before."""
+    order = [title_order(F.col("title")), F.col("title")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    ranged = materialize(ranged.withColumns({"_part": F.shiftright(at, 33), "_n": at.bitwiseAND((1 << 33) - 1)}), "titles")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row for each range
+    return ranged.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_n") + 1).cast("int").alias("pos"))
+
+
 def top_by_title(concepts: DataFrame, n: int = 10) -> DataFrame:
-    """(slug, title, total): the first concepts by title, with how many there are."""
+    """(slug, title, total): the first concepts by title in Korean order, with how many there are."""
     total = concepts.agg(F.count("*").alias("total"))
-    return concepts.orderBy("title", "slug").limit(n).crossJoin(F.broadcast(total)).select("slug", "title", "total")  # total is one row
+    return concepts.orderBy(title_order(F.col("title")), "title", "slug").limit(n).crossJoin(F.broadcast(total)).select("slug", "title", "total")  # total is one row
 
 
 def sessions(rows: DataFrame, gap: float) -> DataFrame:

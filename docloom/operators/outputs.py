@@ -36,11 +36,16 @@ def parse_relations(outputs: DataFrame, concepts: DataFrame) -> DataFrame:
     return rows.select("batch", "pos", "source", "target", F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise("related").alias("type"))
 
 
-def parse_groups(outputs: DataFrame) -> DataFrame:
-    """(source, pos, canonical, members) of answers (source, output): groups with a name and two members at least."""
+def parse_groups(outputs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(source, pos, canonical, members) of answers (source, output): groups with a name and two members at least, of those that are known (name), if given."""
     rows = outputs.select("source", F.posexplode(F.from_json(json_array(F.col("output")), GROUP)).alias("pos", "g"))
     members = F.filter(F.transform("g.members", lambda x: F.trim(x)), lambda x: x != "")
-    return rows.select("source", "pos", F.trim("g.canonical").alias("canonical"), members.alias("members")).where((F.col("canonical") != "") & (F.size("members") >= 2))
+    rows = rows.select("source", "pos", F.trim("g.canonical").alias("canonical"), members.alias("members")).where((F.col("canonical") != "") & (F.size("members") >= 2))
+    if known is None:
+        return rows
+    each = rows.select("source", "pos", "canonical", F.posexplode("members").alias("at", "name")).join(known.select("name").distinct(), "name", "left_semi")
+    listed = each.groupBy("source", "pos", "canonical").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("m"))  # what one answer names
+    return listed.where(F.size("m") >= 2).select("source", "pos", "canonical", F.transform("m", lambda x: x["name"]).alias("members"))
 
 
 def merge_answer(output: Column) -> Column:

@@ -218,6 +218,30 @@ def select_files(files: DataFrame, most_bytes: int = 100_000, most_files: int =
     return rows.orderBy("priority", "size", "path").limit(most_files).select("path", "size", "priority")
 
 
+def within_budget(chosen: DataFrame, budget: int = 60_000) -> DataFrame:
+    """(repo, path, n, tokens, taken) of chosen files (repo, path, n, tokens), n their order: each is taken if it still fits, the first always.
+
+    A repository's files are at most as many as ``select_files`` chooses.
+    """
+    own = F.array_sort(F.collect_list(F.struct("n", "path", "tokens")))
+    kind = "struct<left:bigint,taken:array<boolean>>"
+    zero = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<boolean>").alias("taken")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (x["tokens"] <= acc["left"]) | (F.size(acc["taken"]) == 0)
+        return F.struct(F.when(fits, acc["left"] - x["tokens"]).otherwise(acc["left"]).alias("left"), F.array_append(acc["taken"], fits).alias("taken")).cast(kind)
+
+    each = chosen.groupBy("repo").agg(own.alias("f")).select("repo", F.explode(F.arrays_zip("f", F.aggregate("f", zero, step, lambda a: a["taken"]).alias("t"))).alias("z"))
+    return each.select("repo", F.col("z.f.path").alias("path"), F.col("z.f.n").alias("n"), F.col("z.f.tokens").alias("tokens"), F.col("z.t").alias("taken"))
+
+
+def chosen_files(files: DataFrame, most_bytes: int = 100_000, most_files: int = 40, budget: int = 60_000) -> DataFrame:
+    """(repo, path, n, tokens, taken) of the files (repo, path, size, tokens) of many repositories: the best of each, then what its budget takes."""
+    rows = files.withColumn("priority", file_priority(F.col("path"))).where((F.col("size") <= most_bytes) & (F.col("priority") < 900))
+    n = F.row_number().over(Window.partitionBy("repo").orderBy("priority", "size", "path"))
+    return within_budget(rows.select("repo", "path", "tokens", n.alias("n")).where(F.col("n") <= most_files), budget)
+
+
 def note_title(text: Column, title: Column | None = None) -> Column:
     """The given title, else the first line without its marks up to 80 characters, else note."""
     line = F.substring(F.trim(F.regexp_replace(F.split(text, "\n")[0], r"^#+", "")), 1, 80)
