@@ -14,8 +14,8 @@ is encoded and compared. Special tokens' strings are plain text.
 
 Documents are worked on in chunks of a bounded size of text. A chunk keeps which of its
 segments its documents hold, which pairs its segments link, and how many of its
-documents hold each pair: the sums over chunks are the corpus's counts, which
-are joined back to the chunks' pairs, not to those of each document.
+documents hold each pair. The sums over chunks are the corpus's counts; they are written
+as sorted arrays, which workers map into memory to look up the chunks' pairs.
 
 Null and empty texts have no tokens. Rows that repeat are documents of their own.
 Further columns are ignored.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, pieces, small_or_none, text_strings
+from docloom.llm.arrays import find, mapped, write_arrays
+from docloom.llm.common import materialize, pieces, scratch, small_or_none, text_strings
 
 #: A segment begins at a space between two characters that every reading of white space takes as visible.
 _VISIBLE = r"[^\s\u0085\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
@@ -55,7 +57,7 @@ class Alignment:
 
     bytes_file: str
     pieces_file: str
-    chunk: int = 8 << 20
+    chunk: int = 12 << 20
 
 
 def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
@@ -282,13 +284,43 @@ def chunks(docs: DataFrame, p: Alignment) -> DataFrame:
 
 
 def pair_counts(parts: DataFrame) -> DataFrame:
-    """(pair, n, best): how many documents hold each pair, from chunks' pairs (pair, held), and whether no other of its first id is held by more."""
+    """(pair, n, best): how many documents hold each pair, from chunks' pairs (pair, held), if any does, and whether no other of its first id is held by more."""
     counts = materialize(parts.where("held > 0").groupBy("pair").agg(F.sum("held").alias("n")), "pairs")
     first = F.shiftright("pair", SHIFT)
     most = counts.groupBy(first.alias("_a")).agg(F.max("n").alias("_most"))  # one row for each id of a vocabulary
     return counts.join(small_or_none(materialize(most, "most"), 1_000_000), first == F.col("_a")).select("pair", "n", (F.col("n") == F.col("_most")).alias("best"))
 
 
+def _write_counts(counts: DataFrame, folder: str) -> list[int]:
+    """Write the pairs in order, a few million a file, for workers to map; the least pair of each file."""
+    n = max(1, math.ceil(counts.count() / 4_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches), schema=pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("best", pa.bool_())]))
+        if found.num_rows:  # the range of one file
+            first = found["pair"][0].as_py()
+            write_arrays(folder, f"pairs-{first}", {"pair": found["pair"].to_numpy(), "n": found["n"].to_numpy(), "best": found["best"].to_numpy().astype(np.uint8)})
+            yield pa.RecordBatch.from_pylist([{"first": first}])
+
+    files = counts.select("pair", "n", "best").repartitionByRange(n, "pair").sortWithinPartitions("pair").mapInArrow(run, "first long")
+    return sorted(r.first for r in materialize(files, "files").collect())  # one row for each file
+
+
+def _found(folder: str, firsts: list[int], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair, how many documents hold it and whether it is its first id's best; 0 if none does."""
+    n, best = np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)
+    order = np.argsort(pairs, kind="stable")
+    wanted = pairs[order]
+    cuts = np.append(np.searchsorted(wanted, firsts), len(wanted))
+    for k, first in enumerate(firsts):
+        rows = order[cuts[k] : cuts[k + 1]]
+        if len(rows):
+            own = mapped(folder, f"pairs-{first}")
+            at, there = find(own["pair"], pairs[rows])
+            n[rows[there]], best[rows[there]] = own["n"][at[there]], own["best"][at[there]]
+    return n, best
+
+
 def align(docs: DataFrame, p: Alignment) -> tuple[DataFrame, DataFrame]:
     """Align docs (doc_id, text) and count linked pairs over all of them.
 
@@ -296,25 +328,24 @@ def align(docs: DataFrame, p: Alignment) -> tuple[DataFrame, DataFrame]:
     the corpus's pairs (a, b, n, best).
     """
     made = materialize(chunks(docs, p), "chunks")
-    parts = made.select("chunk", F.posexplode(F.arrays_zip("pairs", "held")).alias("k", "x")).select("chunk", "k", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
+    parts = made.select(F.explode(F.arrays_zip("pairs", "held")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     counts = materialize(pair_counts(parts), "counts")
-    known = F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best"))  # all of a chunk's pairs, also of documents that weren't given back
-    values = parts.select("chunk", "k", "pair").join(counts, "pair", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(known)).alias("v"))
-    values = values.select("chunk", F.transform("v", lambda x: x["n"]).alias("n"), F.transform("v", lambda x: x["best"]).alias("best"))
+    folder = scratch(docs.sparkSession, "alignment")
+    firsts = _write_counts(counts, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lists = {c: batch.column(c)[k].values.to_numpy(zero_copy_only=False) if batch.column(c)[k].is_valid else np.empty(0, dtype=np.int64) for c in [*_LISTS, "n", "best"]}
+                lists = {c: batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in [*_LISTS, "pairs"]}
                 totals = []
-                for v in (lists["best"].astype(np.int64), lists["n"].astype(np.int64)):
+                for v in _found(folder, firsts, lists["pairs"])[::-1]:
                     segment = _sums(v[lists["seg_pairs"]] * lists["seg_times"], lists["seg_sizes"])
                     totals.append(_sums(segment[lists["doc_segs"]] * lists["doc_times"], lists["doc_sizes"]))
                 docs_ = batch.column("docs")[k].values
                 fields = [docs_.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
                 yield pa.RecordBatch.from_arrays([*fields, *map(pa.array, totals), docs_.field("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    ready = made.drop("pairs", "held").join(values, "chunk", "left").select("docs", *_LISTS, "n", "best")
+    ready = made.select("docs", *_LISTS, "pairs")
     out = ready.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out, counts.select(F.shiftright("pair", SHIFT).alias("a"), F.col("pair").bitwiseAND((1 << SHIFT) - 1).alias("b"), "n", "best")
 
