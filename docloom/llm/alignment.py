@@ -12,8 +12,8 @@ first), so each segment is encoded and aligned once in a chunk of documents, man
 time; a text's tokens are those of its segments. If a segment isn't given back byte by byte, the whole text
 is encoded and compared. Special tokens' strings are plain text.
 
-Documents are worked on in chunks of a bounded size of text. A chunk keeps which of its
-segments its documents hold, which pairs its segments link, and how many of its
+Documents are worked on in chunks of a bounded size of text. A document's row keeps which of its chunk's
+segments it holds; a file of arrays keeps which pairs the segments link, and a row how many of the chunk's
 documents hold each pair. The sums over chunks are the corpus's counts; they are written
 as sorted arrays, which workers map into memory to look up the chunks' pairs.
 
@@ -33,11 +33,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.arrays import find, mapped, write_arrays
+from docloom.llm.arrays import find, mapped, read_arrays, small, write_arrays
 from docloom.llm.common import materialize, pieces, scratch, small_or_none, text_strings
 
 #: A segment begins at a space between two characters that every reading of white space takes as visible.
@@ -57,7 +58,7 @@ class Alignment:
 
     bytes_file: str
     pieces_file: str
-    chunk: int = 12 << 20
+    chunk: int = 8 << 20
 
 
 def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
@@ -191,6 +192,7 @@ class _Chunk:
         self.doc_segs, self.doc_times, self.doc_sizes, self.docs = [], [], [], []
         self.held = np.zeros(0, dtype=np.int64)
         self.bytes = 0
+        self.used = False
 
     def _keep(self, found: Aligned) -> int:
         """Take segments in; the place of the first."""
@@ -247,38 +249,61 @@ class _Chunk:
             every = np.repeat(starts[where] - np.cumsum(own) + own, own) + np.arange(own.sum())
             self.held[np.unique(pairs[every])] += 1
             self.bytes += len(text)
+            self.used = True
 
-    def row(self, chunk: int) -> pa.RecordBatch:
-        docs = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*self.docs, strict=True), _DOC, strict=True)], [k for k, _ in _DOC])
-        segs = [x[0] if x else np.empty(0, dtype=t) for x, t in ((self.seg_sizes, np.int32), (self.seg_pairs, np.int32), (self.seg_times, np.int64))]
-        flat = [np.array(self.doc_sizes, dtype=np.int32), np.concatenate(self.doc_segs), np.concatenate(self.doc_times), *segs]
-        columns = [pa.array([chunk], pa.int64()), _one(docs), *map(_one, flat), _one(np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))), _one(self.held)]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "docs", *_LISTS, "pairs", "held"])
+    def write(self, folder: str, name: str) -> None:
+        """Which pairs each segment links, for workers to map when all pairs are counted."""
+        sizes, pairs, times = (x[0] if x else np.empty(0, dtype=np.int32) for x in (self.seg_sizes, self.seg_pairs, self.seg_times))
+        write_arrays(folder, name, {"sizes": small(sizes), "pairs": small(pairs), "times": small(times), "pair": np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))})
+
+    def take(self) -> pa.RecordBatch:
+        """The documents since the last time."""
+        columns = [pa.array(x, t) for x, (_, t) in zip(zip(*self.docs, strict=True), _DOC, strict=True)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(self.doc_sizes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (self.doc_segs, self.doc_times)]
+        n = len(self.docs)
+        self.docs, self.doc_segs, self.doc_times, self.doc_sizes = [], [], [], []
+        return _rows(n, dict(zip([k for k, _ in _DOC], columns, strict=True)) | dict(zip(["segs", "times"], lists, strict=True)))
+
+    def counted(self) -> pa.RecordBatch:
+        """A row of the chunk's pairs and how many of its documents hold each."""
+        return _rows(1, {"pairs": _one(np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))), "held": _one(self.held)})
 
 
 _DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
-_LISTS = ["doc_sizes", "doc_segs", "doc_times", "seg_sizes", "seg_pairs", "seg_times"]
-_CHUNK = "chunk long, docs array<struct<doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string>>, " + ", ".join(f"{c} array<{'long' if c == 'seg_times' else 'int'}>" for c in _LISTS) + ", pairs array<long>, held array<long>"
+#: Rows of documents (their chunk, and which segments of it they hold, how often), and of chunks (their pairs).
+_TYPES = [("chunk", pa.string()), *_DOC, ("segs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))]
+_CHUNK = "chunk string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, segs array<int>, times array<int>, pairs array<long>, held array<long>"
 
 
-def _one(values: np.ndarray | pa.Array) -> pa.Array:
+def _one(values: np.ndarray) -> pa.Array:
     """A column of one row, a list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
+
 
+def _rows(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Rows with nulls in the other columns."""
+    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in _TYPES], [k for k, _ in _TYPES])
 
-def chunks(docs: DataFrame, p: Alignment) -> DataFrame:
-    """Align docs (doc_id, text); a row is a chunk."""
+
+def chunks(docs: DataFrame, p: Alignment, folder: str) -> DataFrame:
+    """Align docs (doc_id, text): rows of documents and rows of chunks; chunks' segments go to files in a folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = aligner(p), TaskContext.get().partitionId(), 0
         chunk = _Chunk(own)
+        named = lambda rows, name: rows.set_column(0, "chunk", pa.array([name] * rows.num_rows, pa.string()))
         for batch in pieces(batches):
-            chunk.add(batch.column(0).to_pylist(), text_strings(batch))
+            if batch.num_rows:
+                chunk.add(batch.column(0).to_pylist(), text_strings(batch))
+                yield named(chunk.take(), name := f"chunk-{part}-{seq}")
             if chunk.bytes >= p.chunk:
-                yield chunk.row(part << 32 | seq)
+                chunk.write(folder, name)
+                yield chunk.counted()
                 chunk, seq = _Chunk(own), seq + 1
-        if chunk.docs:
-            yield chunk.row(part << 32 | seq)
+        if chunk.used:
+            chunk.write(folder, f"chunk-{part}-{seq}")
+            yield chunk.counted()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CHUNK)
 
@@ -327,29 +352,41 @@ def align(docs: DataFrame, p: Alignment) -> tuple[DataFrame, DataFrame]:
     Returns (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each document, and
     the corpus's pairs (a, b, n, best).
     """
-    made = materialize(chunks(docs, p), "chunks")
-    parts = made.select(F.explode(F.arrays_zip("pairs", "held")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
-    counts = materialize(pair_counts(parts), "counts")
     folder = scratch(docs.sparkSession, "alignment")
+    made = materialize(chunks(docs, p, folder), "chunks")
+    parts = made.where("pairs IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "held")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
+    counts = materialize(pair_counts(parts), "counts")
     firsts = _write_counts(counts, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                lists = {c: batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in [*_LISTS, "pairs"]}
-                totals = []
-                for v in _found(folder, firsts, lists["pairs"])[::-1]:
-                    segment = _sums(v[lists["seg_pairs"]] * lists["seg_times"], lists["seg_sizes"])
-                    totals.append(_sums(segment[lists["doc_segs"]] * lists["doc_times"], lists["doc_sizes"]))
-                docs_ = batch.column("docs")[k].values
-                fields = [docs_.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays([*fields, *map(pa.array, totals), docs_.field("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    ready = made.select("docs", *_LISTS, "pairs")
+        now, values = None, ()
+        for batch in pieces(batches):
+            chunk = batch.column("chunk").to_pylist()
+            at = [0, *[k for k in range(1, len(chunk)) if chunk[k] != chunk[k - 1]], len(chunk)]
+            for low, high in zip(at, at[1:], strict=False):
+                if low == high:
+                    continue
+                if chunk[low] != now:  # documents of one chunk stand together
+                    now, values = chunk[low], _values(folder, chunk[low], firsts)
+                own = batch.slice(low, high - low)
+                segs, times = (own.column(c).flatten().to_numpy() for c in ("segs", "times"))
+                sizes = pc.list_value_length(own.column("segs")).to_numpy()
+                totals = [pa.array(_sums(v[segs] * times, sizes)) for v in values]
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], *totals, own.column("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    ready = made.where("chunk IS NOT NULL").drop("pairs", "held")
     out = ready.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out, counts.select(F.shiftright("pair", SHIFT).alias("a"), F.col("pair").bitwiseAND((1 << SHIFT) - 1).alias("b"), "n", "best")
 
 
+def _values(folder: str, chunk: str, firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of a chunk's segments, how many of its links are best, and the sum of its links' counts."""
+    own = read_arrays(folder, chunk)
+    n, best = _found(folder, firsts, own["pair"])
+    sizes, times = own["sizes"].astype(np.int64), own["times"].astype(np.int64)
+    return tuple(_sums(v[own["pairs"]] * times, sizes) for v in (best, n))
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of stretches of the given sizes."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

@@ -87,3 +87,8 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return at, np.zeros(len(wanted), dtype=bool)
     at = np.minimum(at, len(keys) - 1)
     return at, keys[at] == wanted
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the least width that holds all of them."""
+    return a.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if not len(a) or int(a.max()) <= np.iinfo(t).max))

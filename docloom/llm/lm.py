@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.arrays import find, mapped, write_arrays
+from docloom.llm.arrays import find, mapped, small, write_arrays
 from docloom.llm.common import materialize, pieces, scratch, text_bytes
 from docloom.llm.textkit import SPACED, WordHasher, mix64, random_u64
 
@@ -255,13 +255,8 @@ def _contexts(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"key": keys[at], "total": sums(counts), "ones": sums(counts == 1), "twos": sums(counts == 2), "more": sums(counts > 2)}
 
 
-def _small(a: np.ndarray) -> np.ndarray:
-    """As unsigned integers of the least width that holds all of them."""
-    return a.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if not len(a) or int(a.max()) <= np.iinfo(t).max))
-
-
 def _write_context(model: Model, name: str, c: dict[str, np.ndarray]) -> None:
-    write_arrays(model.folder, name, {"key": c["key"]} | {k: _small(v) for k, v in c.items() if k != "key"})
+    write_arrays(model.folder, name, {"key": c["key"]} | {k: small(v) for k, v in c.items() if k != "key"})
 
 
 def _merge(grams: DataFrame, model: Model, k: int) -> DataFrame:
@@ -270,7 +265,7 @@ def _merge(grams: DataFrame, model: Model, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             keys, cols, counts = _summed(*_unpacked(rows, k, model.id_type))
-            write_arrays(model.folder, f"grams-{k}-{bucket}", {"key": keys, "count": _small(counts)})
+            write_arrays(model.folder, f"grams-{k}-{bucket}", {"key": keys, "count": small(counts)})
             yield _packed(0, k, [*[int((counts == j).sum()) for j in (1, 2, 3, 4)], len(counts), int(counts.sum()), int((counts > 2).sum())], [])
             if k == 1:
                 continue
