@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.jobs.corpus import _LINKS, _SCORED, _TERMS, QUESTION, _bm25
 from docloom.jobs.registry import query
-from docloom.operators import batches, compiling, grams, index, org, outputs
+from docloom.operators import batches, compiling, grams, graph, index, org, outputs
 from docloom.session import scratch, table
 from docloom.sources import ingest, views
 from docloom.sources.views import with_views
@@ -145,3 +145,18 @@ def titles_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All titles with their place in Korean order; places within ranges of titles, then sums over the ranges before."""
     titles = _docs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select(F.expr(_TITLES.replace("{all}", "")).alias("title"))
     return org.placed_by_title(titles)
+
+
+_CLUSTERS = "SELECT 'g' || c_nationkey AS component, c_name AS node FROM customer UNION ALL SELECT 's' || s_suppkey % 40, s_name FROM supplier"
+
+
+@query(f"""WITH l AS ({_CLUSTERS}), s AS (SELECT component, count(*) AS size FROM l GROUP BY component HAVING count(*) >= 3),
+k AS (SELECT component, node, sum(ceil((strlen(node) + 2) / 4.0)) OVER (PARTITION BY component ORDER BY node ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY component ORDER BY node) AS n FROM l),
+m AS (SELECT component, count(*) AS shown, string_agg(node, ', ' ORDER BY node) AS members FROM k WHERE used <= 120 OR n = 1 GROUP BY component)
+SELECT component AS community, size, shown, members, CASE WHEN starts_with(component, 's') THEN '개념 클러스터: ' || members ELSE trim(substring('개념 목록: ' || members, 1, 40)) END AS summary FROM m JOIN s USING (component)""")
+def community_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of communities by a model that says nothing of suppliers."""
+    labels = table(spark, sf_dir, "customer").select(F.concat(F.lit("g"), "c_nationkey").alias("component"), F.col("c_name").alias("node"))
+    labels = labels.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") % 40), "s_name"))
+    said = lambda prompts: ["" if "Supplier" in p else x for p, x in zip(prompts, compiling.first_words(prompts), strict=True)]
+    return graph.community_summaries(labels, said, 120).select("community", "size", F.col("shown").cast("long").alias("shown"), "members", "summary")

@@ -6,11 +6,14 @@ cycle the start may come back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import estimate_tokens, render
+from docloom.operators.compiling import mapped
 from docloom.operators.components import components
 from docloom.session import materialize
 
@@ -97,6 +100,44 @@ def communities(e: DataFrame, min_size: int = 3) -> DataFrame:
     return found.groupBy(F.col("component").alias("community")).agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("size") >= min_size)
 
 
+#: A summary's prompt, and what stands for it without an answer. Fixed values.
+SUMMARY_PROMPT = "다음 개념 클러스터를 한 문단(2~4문장)으로 요약하세요. 클러스터의 공통 주제와 개념 간 관계를 설명하세요.\n\n개념 목록: {{ concepts }}"
+NO_SUMMARY = "개념 클러스터: "
+
+
+def community_summaries(labels: DataFrame, completion: Callable[[list[str]], list[str]], budget: int = 2000, min_size: int = 3) -> DataFrame:
+    """(community, size, shown, members, summary) of members (node, component): each community's names in order, up to a prompt's budget of tokens, and what a model says about them.
+
+    A community may hold any number of nodes: a name has a token at least, so the first
+    ``budget`` names of each of 64 parts, then of these, are all that a prompt can hold.
+    A blank answer, or a model that fails, is replaced by the names.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+    own = labels.select("component", "node", F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"))
+    first = lambda *keys: F.row_number().over(Window.partitionBy("component", *keys).orderBy("node"))
+    few = own.withColumn("rank", first("part")).where(F.col("rank") <= budget).withColumn("rank", first()).where(F.col("rank") <= budget)
+    used = F.sum(estimate_tokens(F.concat("node", F.lit(", ")))).over(Window.partitionBy("component").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    kept = few.withColumn("used", used).where((F.col("used") <= budget) | (F.col("rank") == 1))
+    names = kept.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members")).join(sizes, "component")
+    asked = names.select(F.col("component").alias("community"), "size", F.size("members").alias("shown"), F.array_join("members", ", ").alias("members"))
+
+    def answered(prompts: list[str]) -> list[str]:
+        try:
+            return completion(prompts)
+        except Exception:  # noqa: BLE001  one by one, so that one failure is one community's
+            return [_one(completion, p) for p in prompts]
+
+    said = mapped(asked, render(SUMMARY_PROMPT, {"concepts": F.col("members")}), answered, ["community", "size", "shown", "members"])
+    return said.select("community", "size", "shown", "members", F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", F.concat(F.lit(NO_SUMMARY), "members")).otherwise(F.trim("answer")).alias("summary"))
+
+
+def _one(completion: Callable[[list[str]], list[str]], prompt: str) -> str:
+    try:
+        return completion([prompt])[0]
+    except Exception:  # noqa: BLE001
+        return ""
+
+
 def expansion(e: DataFrame, most: int = 5, most_contradictions: int = 3) -> DataFrame:
     """(name, parents, children, enables, requires, contradicts): the first few neighbours of each kind, by name."""
     kinds = {
