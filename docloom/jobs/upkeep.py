@@ -11,7 +11,7 @@ from docloom.operators import batches, compiling, grams, graph, index, org, outp
 from docloom.session import scratch, table
 from docloom.sources import ingest, views
 from docloom.sources.views import with_views
-from docloom.streaming import steps
+from docloom.streaming import bursts, steps
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,3 +160,14 @@ def community_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") % 40), "s_name"))
     said = lambda prompts: ["" if "Supplier" in p else x for p, x in zip(prompts, compiling.first_words(prompts), strict=True)]
     return graph.community_summaries(labels, said, 120).select("community", "size", F.col("shown").cast("long").alias("shown"), "members", "summary")
+
+
+@query(with_views(""", l AS (SELECT member, action, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY member ORDER BY ts) > 3600000000 AS new FROM activity WHERE ts IS NOT NULL AND member IS NOT NULL),
+s AS (SELECT member, action, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY member ORDER BY ts) AS burst FROM l)
+SELECT member::VARCHAR AS key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n, array_to_string(list_sort(list(DISTINCT action)), ',') AS paths FROM s GROUP BY member, burst""", "activity"))
+def debounce_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of each member's events by timers, over the whole log, with what is open at its end."""
+    log = views.activity(spark, sf_dir).select("ts", F.col("member").alias("key"), F.col("action").alias("path"))
+    folder = scratch(spark, "events")
+    log.write.parquet(folder)
+    return bursts.debounced(spark.readStream.schema(log.schema).parquet(folder), 3600).withColumn("paths", F.array_join("paths", ","))

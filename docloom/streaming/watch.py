@@ -25,7 +25,8 @@ def counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes")
 def replayed(log: DataFrame, plan: Callable[[DataFrame], DataFrame], label: str, rows: int = 5_000_000) -> DataFrame:
     """What a streaming plan gives over the whole of a log (ts, ...).
 
-    Rows arrive in order of time, about so many at once. All files of an arrival
+    The log is written once, a folder for each arrival of about so many rows in order of time; folders
+    are moved to the watched one, one after the other. All files of an arrival
     are one batch, so the watermark never passes rows that are still to come,
     whatever the order of files. A last row 100 years on, with nulls else, closes
     what is open; its own window stays open and isn't written. Rows without ts
@@ -34,13 +35,19 @@ def replayed(log: DataFrame, plan: Callable[[DataFrame], DataFrame], label: str,
     spark, log = log.sparkSession, log.where("ts IS NOT NULL")
     parts = max(1, math.ceil(log.count() / rows))
     at = log.select(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)], 10_000).alias("at")).first()["at"] if parts > 1 else []
-    edges, t = sorted(set(at or [])), F.unix_micros("ts")
+    edges = sorted(set(at or []))
     end = log.agg(F.max("ts").alias("ts")).select(*[F.expr("ts + INTERVAL 100 YEARS").alias(c) if c == "ts" else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns])
-    arrivals = [log.where((t >= low if low is not None else F.lit(True)) & (t < high if high is not None else F.lit(True))) for low, high in zip([None, *edges], [*edges, None], strict=True)]
-    folder, out, state = scratch(spark, f"{label}-log"), scratch(spark, label), scratch(spark, f"{label}-state")
-    for rows_now in [*arrivals, end]:
-        rows_now.write.mode("append").parquet(folder)
-        stream = plan(spark.readStream.schema(log.schema).parquet(folder))
+    staged, folder, out, state = scratch(spark, f"{label}-staged"), scratch(spark, f"{label}-log"), scratch(spark, label), scratch(spark, f"{label}-state")
+    arrival = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e <= F.unix_micros("ts")))
+    log.withColumn("_arrival", arrival).repartition("_arrival", F.pmod(F.xxhash64("ts"), F.lit(8))).write.partitionBy("_arrival").parquet(staged)
+    end.write.parquet(f"{staged}/_arrival={len(edges) + 1}")
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for k in range(len(edges) + 2):
+        if fs.exists(path(f"{staged}/_arrival={k}")):
+            fs.rename(path(f"{staged}/_arrival={k}"), path(f"{folder}/arrival-{k}"))
+        stream = plan(spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(folder))
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
