@@ -18,8 +18,9 @@ ALIGNMENT = alignment.Alignment(public_tokenizers.path("byte_bpe_50k.json"), pub
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan all documents for secrets: by the fixed rules with a new ledger, then by the further rules only, over what it doesn't have."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
-    ledger, _ = secrets.scan(docs, rules=secrets.BASE)
-    _, found = secrets.scan(docs, ledger)
+    known = secrets.addresses(docs)
+    ledger, _ = secrets.scan(docs, rules=secrets.BASE, known=known)
+    _, found = secrets.scan(docs, ledger, known=known)
     base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(F.col("path").alias("doc_id"), *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE], F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))

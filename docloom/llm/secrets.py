@@ -1,9 +1,9 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every path is content-addressed by SHA-256. The ledger has one
+Every version of every path is content-addressed by SHA-256, once. The ledger has one
 row for each blob: the rules (with their versions) that have been run on it and
 the spans found. A scan takes one copy of each blob for which a rule is new,
-runs the new rules only, adds to the ledger and joins findings back to all
+runs the new rules only, adds rows to the ledger and joins findings back to all
 paths and versions that hold the blob.
 
 Spans count code points, end exclusive. A rule's matches are leftmost and don't
@@ -75,41 +75,51 @@ def _matches(blobs: DataFrame, rule: Rule, rank: int) -> DataFrame:
     return each.select("blob", (F.col("stop") - F.col("m.size")).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), "stop")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE + MORE, broadcast_blobs: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def addresses(versions: DataFrame) -> DataFrame:
+    """(path, version, blob, check) of versions (path, version, content), written once; check: a short hash that tells contents of one path and version apart."""
+    content = F.coalesce("content", F.lit(""))
+    return materialize(versions.select("path", "version", address(content).alias("blob"), F.xxhash64(content).alias("check")), "addresses")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row for each blob of a ledger's rows, of which each scan adds one for a blob that it was new for."""
+    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_sort(F.flatten(F.collect_list("spans"))).cast(SPAN).alias("spans"))
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE + MORE, broadcast_blobs: int = 500_000, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan versions (path, version, content); return the new ledger and the findings.
 
-    Ledger: (blob, rules, spans). Findings: (path, version, blob, spans) for each
-    row of versions, spans in order of start, then of the rules. Up to
-    ``broadcast_blobs`` unseen blobs, which are counted, are broadcast.
+    Ledger: (blob, rules, spans). What a scan adds is written as rows of its own; the old ones stay as they are.
+    Findings: (path, version, blob, spans) for each row of versions, spans in order of start, then of the rules. Up to
+    ``broadcast_blobs`` unseen blobs, which are counted, are broadcast; more are joined by a shuffle. Either way
+    only unseen blobs' contents meet a rule. ``known``: the versions' ``addresses``, if they are there already.
     """
-    addressed = versions.select("path", "version", F.coalesce("content", F.lit("")).alias("content")).withColumn("blob", address(F.col("content")))
+    known = addresses(versions) if known is None else known
     names = F.array(*[F.lit(r.name) for r in rules])
-    copies = addressed.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at")).select(F.col("blob").alias("_blob"), F.col("at.path").alias("_path"), F.col("at.version").alias("_version"))
+    copies = known.groupBy("blob").agg(F.min(F.struct("path", "version", "check")).alias("at")).select(F.col("blob").alias("_blob"), F.col("at.path").alias("_path"), F.col("at.version").alias("_version"), F.col("at.check").alias("_check"))
     if ledger is None:
         copies = copies.withColumn("todo", names)
     else:
-        known = ledger.select(F.col("blob").alias("_blob"), F.col("rules").alias("_rules"))
-        copies = copies.join(known, "_blob", "left").withColumn("todo", F.array_except(names, F.coalesce("_rules", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("_rules")
+        run = ledger.select(F.col("blob").alias("_blob"), F.col("rules").alias("_rules"))
+        copies = copies.join(run, "_blob", "left").withColumn("todo", F.array_except(names, F.coalesce("_rules", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("_rules")
     copies = materialize(copies, "unseen")
     few = small_or_none(copies, broadcast_blobs)
-    same = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
-    hinted = reduce(lambda a, b: a | b, [F.col("content").rlike(r.hint or r.pattern) for r in rules])
-    asked = reduce(lambda a, b: a | b, [F.array_contains("todo", r.name) & F.col("content").rlike(r.hint or r.pattern) for r in rules])
-    # few unseen blobs choose the rows whose content is read; many are joined after the rules' hints have thinned out the contents
-    once = addressed if few is not copies else addressed.where(hinted)
-    once = once.join(few, same).where(asked).select("blob", "content", "todo").dropDuplicates(["blob"])  # repeated rows would give their blob twice
-    blobs = materialize(once, "blobs")
+    same = F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
+    # within a lambda, so that no part of it is tried on contents before the join
+    asked = F.exists("todo", lambda t: reduce(lambda a, b: a | b, [(t == r.name) & F.col("content").rlike(r.hint or r.pattern) for r in rules]))
+    once = versions.select("path", "version", F.coalesce("content", F.lit("")).alias("content"))
+    if ledger is None and few is copies:  # all contents are unseen: the hints thin them out before they move
+        once = once.where(reduce(lambda a, b: a | b, [F.col("content").rlike(r.hint or r.pattern) for r in rules]))
+    once = once.join(few, same).where((F.xxhash64("content") == F.col("_check")) & asked)
+    blobs = materialize(once.select(F.col("_blob").alias("blob"), "content", "todo").dropDuplicates(["blob"]), "blobs")  # repeated rows would give their blob twice
     found = reduce(DataFrame.unionByName, [_matches(blobs, r, k) for k, r in enumerate(rules)]).distinct()
     spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop"))).cast(SPAN).alias("spans"))
     new = copies.select(F.col("_blob").alias("blob"), F.col("todo").alias("rules")).join(spans, "blob", "left")
-    new = new.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
-    if ledger is not None:
-        both = ledger.select("blob", "rules", "spans").unionByName(new)
-        new = both.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    new = materialize(new, "ledger")
-    hits = new.where(F.size("spans") > 0).select("blob", "spans")
-    out = addressed.select("path", "version", "blob").join(hits, "blob", "left")
-    return new, out.select("path", "version", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    new = materialize(new.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN))), "ledger")
+    every = new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new)
+    hits = _merged(every.where(F.size("spans") > 0)).select("blob", "spans")
+    out = known.select("path", "version", "blob").join(hits, "blob", "left")
+    return _merged(every), out.select("path", "version", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:

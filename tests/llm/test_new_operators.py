@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm import alignment, arrays, lm, structure
+from docloom.llm import alignment, arrays, lm, secrets, structure
 from docloom.llm.queries import ALIGNMENT
 from docloom.llm.textkit import SPACED, WordHasher
 
@@ -134,6 +134,26 @@ def test_repair_of_a_hot_conversation(spark):
     assert digests(df) == by_hand(rows)
 
 
+# ---------------------------------------------------------------- the ledger of secrets
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_a_second_scan_takes_unseen_contents_only(spark, bound, monkeypatch):
+    taken, write = {}, secrets.materialize
+    monkeypatch.setattr(secrets, "materialize", lambda df, label: taken.setdefault(label, []).append(df) or write(df, label))
+    rows = [(k, 1, f"known {k} token = abcdefgh") for k in range(30)]
+    first = spark.createDataFrame(rows, "path long, version int, content string")
+    ledger, _ = secrets.scan(first, rules=secrets.BASE, broadcast_blobs=bound)
+    more = first.union(spark.createDataFrame([(k, 2, f"fresh {k} token = abcdefgh") for k in range(5)] + [(40, 1, "fresh 1 token = abcdefgh")], first.schema))
+    after, found = secrets.scan(more, ledger, rules=secrets.BASE, broadcast_blobs=bound)
+    assert [x.count() for x in taken["blobs"]] == [30, 5] and [x.count() for x in taken["ledger"]] == [30, 5]
+    assert after.count() == 35 and {len(r.spans) for r in found.collect()} == {1} and found.count() == 36
+    assert secrets.scan(more, after, rules=secrets.BASE, broadcast_blobs=bound)[0].count() == 35 and taken["blobs"][-1].count() == 0
+    # a rule matches no content before the unseen blobs are known
+    plan = taken["blobs"][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.split("Join")[0] + plan.split("Join")[1].split("\n")[0] and "RLIKE" not in plan.split("Join", 1)[1].split("\n", 1)[1]
+
+
 # ---------------------------------------------------------------- tokenizer alignment
 
 
