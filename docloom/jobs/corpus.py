@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,12 +153,33 @@ def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", fx.byte_tail(F.col("text"), 80).alias("tail"))
 
 
-@query()
+def _packed(tag: str, most: int, source: str) -> str:
+    """The packing's tables over other pages and another room, under names of their own."""
+    names = "s0|sec|p0|p1|p2|p3|p4|parts|u0|u1|u2|u3|md_docs"
+    text = re.sub(rf"\b({names})\b", lambda m: source if m[1] == "md_docs" else m[1] + tag, _PACK)
+    return text.replace(f"> {MOST}", f"> {most}")
+
+
+_TAIL = "right({0}, coalesce(list_max(list_filter(range(0, 81), lambda k: strlen(right({0}, k)) <= 80)), 0)::INT)"
+
+
+def _chunked(tag: str, strategy: str, level: int) -> str:
+    return f"""g{tag} AS (SELECT u2{tag}.doc_id, chunk, string_agg(x, chr(10) || chr(10) ORDER BY u2{tag}.n) AS raw, (list(title ORDER BY u2{tag}.n) FILTER (title <> ''))[1] AS section FROM u2{tag} JOIN u3{tag} ON u3{tag}.doc_id = u2{tag}.doc_id AND u3{tag}.n = u2{tag}.n GROUP BY u2{tag}.doc_id, chunk),
+    h{tag} AS (SELECT doc_id, '{strategy}' AS strategy, chunk + 1 AS index, count(*) OVER (PARTITION BY doc_id) AS total, coalesce(section, 'Doc ' || doc_id) AS section, {level} AS level, {'chunk // 2' if level == 2 else '0'} AS grp, raw, {_TAIL.format('lag(raw) OVER (PARTITION BY doc_id ORDER BY chunk)')} AS tail FROM g{tag})"""
+
+
+_KINDS = f"k AS (SELECT *, {_STRATEGY.replace('tokens', _TOKENS.format('content'))} AS kind FROM md_docs), km AS (SELECT * FROM k WHERE kind = 'map_reduce'), kh AS (SELECT * FROM k WHERE kind = 'hierarchical')"
+_CHUNKS = f"""{_KINDS}, {_packed('m', 1180, 'km')}, {_packed('h', 580, 'kh')}, {_chunked('m', 'map_reduce', 1)}, {_chunked('h', 'hierarchical', 2)},
+every AS (SELECT doc_id, 'single_pass' AS strategy, 1 AS index, 1 AS total, '전체' AS section, 1 AS level, 0 AS grp, content AS raw, NULL AS tail FROM k WHERE kind = 'single_pass' UNION ALL SELECT * FROM hm UNION ALL SELECT * FROM hh),
+full_chunks AS (SELECT *, '[Doc ' || doc_id || ' / ' || section || ' / ' || total || '개 중 ' || index || '번째]' || chr(10) || chr(10) || CASE WHEN coalesce(tail, '') <> '' THEN '<!-- overlap -->' || chr(10) || tail || chr(10) || '<!-- /overlap -->' || chr(10) || chr(10) ELSE '' END || raw AS content FROM every)"""
+
+
+@query(with_views(f", {_CHUNKS} SELECT doc_id, strategy, index::BIGINT AS index, total::BIGINT AS total, section, level::INT AS level, grp::BIGINT AS \"group\", md5(content) AS content, {_TOKENS.format('content')} AS token_count FROM full_chunks", "md_docs", recursive=True))
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_documents(views.md_docs(spark, sf_dir), TINY)
+    return chunking.chunk_documents(views.md_docs(spark, sf_dir), TINY).withColumn("content", F.md5(F.col("content").cast("binary")))
 
 
-@query()
+@query(with_views(f", {_CHUNKS} SELECT doc_id, strategy, count(*) AS total_chunks, sum({_TOKENS.format('content')})::BIGINT AS tokens, string_agg(format('chunk_{{:04d}}.md', index::INT), ',' ORDER BY index) AS files FROM full_chunks GROUP BY doc_id, strategy", "md_docs", recursive=True))
 def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.manifest(chunking.chunk_documents(views.md_docs(spark, sf_dir), TINY))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.jobs.corpus import _CHUNKS, TRIM
 from docloom.jobs.registry import query
 from docloom.operators import chunking, compiling, graph, incremental, org, relations
 from docloom.session import table
@@ -241,7 +242,11 @@ def map_reduce_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiling.reduced(compiling.mapped(rows, F.col("text"), compiling.first_words, ["conv_id", "turn"]), ["conv_id"], "turn")
 
 
-@query()
+_SAID = lambda x: f"left(string_split(trim({x}, {TRIM}), chr(10))[-1], 40)"
+_BLOCKS = lambda n: f"string_agg('### 청크 ' || {n} || chr(10) || answer, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY {n})"
+
+
+@query(with_views(f", {_CHUNKS}, an AS (SELECT doc_id, strategy, index, grp, {_SAID('content')} AS answer FROM full_chunks), tr AS (SELECT doc_id, grp + 1 AS n, {_SAID(_BLOCKS('index'))} AS answer FROM an WHERE strategy = 'hierarchical' GROUP BY doc_id, grp), al AS (SELECT doc_id, index AS n, answer FROM an WHERE strategy <> 'hierarchical' UNION ALL SELECT doc_id, n, answer FROM tr) SELECT doc_id, {_SAID(_BLOCKS('n'))} AS summary FROM al GROUP BY doc_id", "md_docs", recursive=True))
 def map_reduce_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiling.summarise(chunking.chunk_documents(views.md_docs(spark, sf_dir), TINY), compiling.first_words)
 
