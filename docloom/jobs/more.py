@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fx
-from docloom.jobs.corpus import TRIM
+from docloom.jobs.corpus import _TOKENS, TRIM, _fold
 from docloom.jobs.knowledge import _EDGES
 from docloom.jobs.registry import query
 from docloom.operators import chunking, compiling, context, graph, incremental, links
@@ -81,7 +81,17 @@ def community_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities_with(components(materialize(own, "co-occurs")), "Supplier 1")
 
 
-@query()
+def _ontology(question: str, budget: int) -> str:
+    """Communities, then concepts, each folded over what is left."""
+    words = fx.question_words(question)
+    score = lambda text: "(" + " + ".join(f"CASE WHEN contains(replace(lower(name), '_', ' '), '{w}') THEN 2 ELSE 0 END + CASE WHEN contains(lower({text}), '{w}') THEN 1 ELSE 0 END" for w in words) + f") / {len(words)}::DOUBLE"
+    best = lambda table, text, n: f"(SELECT name, {_TOKENS.format('text')} AS tokens, row_number() OVER (ORDER BY {score(text)} DESC, name) AS n FROM {table} WHERE {score(text)} > 0 QUALIFY n <= {n})"
+    return f"""WITH com AS (SELECT p_brand AS name, string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM part GROUP BY p_brand), con AS (SELECT p_name || ' ' || p_partkey AS name, p_name || ' ' || p_type AS text FROM part),
+    b1 AS {best('com', 'text', 5)}, {_fold('f1', 'b1', budget)}, b2 AS {best('con', 'name', 3)}, {_fold('f2', 'b2', '(SELECT ' + str(budget) + ' - coalesce(sum(tokens), 0) FROM f1)')}
+    SELECT 'community' AS kind, name, f1.tokens, remaining FROM f1 JOIN b1 USING (n) UNION ALL SELECT 'concept', name, f2.tokens, remaining FROM f2 JOIN b2 USING (n)"""
+
+
+@query(_ontology("which red widget or hot gear", 1000))
 def context_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph's part of a context: brands as communities, parts as concepts."""
     p = table(spark, sf_dir, "part")
