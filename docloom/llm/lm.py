@@ -53,8 +53,8 @@ class KneserNey:
     """``order``: words of the longest n-grams; ``bucket``: about so many tokens have their n-grams in one bucket; ``chunk``: so many are counted at once in a task."""
 
     order: int = 2
-    bucket: int = 2_000_000
-    chunk: int = 2_000_000
+    bucket: int = 1_000_000
+    chunk: int = 1_000_000
 
 
 @dataclass
