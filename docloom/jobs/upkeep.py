@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.jobs.corpus import _LINKS, _SCORED, _TERMS, QUESTION, _bm25
 from docloom.jobs.registry import query
-from docloom.operators import batches, compiling, grams, graph, index, org, outputs
+from docloom.jobs.writing import _BODY, _FILES_LIST, _FRONT, _NEW, NL
+from docloom.operators import authoring, batches, compiling, grams, graph, index, org, outputs
 from docloom.session import scratch, table
 from docloom.sources import ingest, views
 from docloom.sources.views import with_views
@@ -171,3 +172,33 @@ def debounce_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "events")
     log.write.parquet(folder)
     return bursts.debounced(spark.readStream.schema(log.schema).parquet(folder), 3600).withColumn("paths", F.array_join("paths", ","))
+
+
+# Pages out of concepts
+
+
+def writes(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: a page for a new concept; for one that is there, an action by the length of its name."""
+    out = []
+    for p in prompts:
+        name = p.split("\n", 1)[0].removeprefix("개념: ")
+        if "기존 문서:" not in p:
+            out.append(f"```markdown\n# {name}\n\nNew.\n```")
+        else:
+            out.append(["ACTION: duplicate", "ACTION: conflict\nCONFLICT_SUMMARY: differs", f"ACTION: complement\n---CONTENT---\n# {name}\n\nMerged.", "ACTION: complement\n---CONTENT---\n"][len(name) % 4])
+    return out
+
+
+_NOTICE = f"'> ⚠️ **충돌 감지됨** — `' || {_NEW} || '` 과 내용이 상충합니다.' || {NL} || '> 충돌 보고: `conflicts/2026-01-02_' || slug || '.md`' || {NL} || {NL} || "
+
+
+@query(with_views(f""", p AS (SELECT *, 'Doc ' || doc_id AS name, {_FRONT.format(_FILES_LIST)} {_BODY} AS sourced, {_FRONT.format(_FILES_LIST)} {_NOTICE} {_BODY} AS noticed FROM md_docs)
+SELECT slug, CASE length(name) % 4 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'conflict' ELSE 'complemented' END AS action, md5(CASE length(name) % 4 WHEN 1 THEN noticed WHEN 2 THEN '# ' || name || {NL} || {NL} || 'Merged.' WHEN 3 THEN 'ACTION: complement' || {NL} || '---CONTENT---' ELSE sourced END) AS content FROM p WHERE doc_id % 2 = 0
+UNION ALL SELECT 'New_' || doc_id, 'created', md5('# New ' || doc_id || {NL} || {NL} || 'New.') FROM md_docs WHERE doc_id % 2 = 1""", "md_docs"))
+def pages_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that concepts of all documents create or change."""
+    pages = views.md_docs(spark, sf_dir)
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "Doc ").otherwise("New "), "doc_id")
+    found = pages.select(F.concat(F.lit("raw/src"), F.col("doc_id") % 8, F.lit(".md")).alias("source"), name.alias("name"), F.lit("s").alias("summary"), F.when(F.col("doc_id") % 2 == 0, name).alias("existing_match"), F.when(F.col("doc_id") % 2 == 0, "exact").alias("match_type"), F.lit("text").alias("text"))
+    touched, log = authoring.compiled(found, pages.select("slug", F.concat(F.lit("Doc "), "doc_id").alias("name"), "content"), writes, "2026-01-02")
+    return touched.join(log.select("slug", "action"), "slug").select("slug", "action", F.md5(F.col("content").cast("binary")).alias("content"))
