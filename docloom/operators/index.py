@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,7 +148,7 @@ def _merged(index: Index, live: list[dict], version: int, free: int, fan: int) -
         due = next((x for _, x in sorted(levels.items()) if len(x) >= fan), None) or next(([r] for r in live if 2 * r["dead"] > r["n_docs"]), None)
         if not due:
             return live
-        own = [type("Row", (), r) for r in due]
+        own = [SimpleNamespace(**r) for r in due]
         post = index._live("postings", _POSTINGS, version, own).drop("segment")
         _write_segment(index, free, post, index._live("lengths", _LENGTHS, version, own).drop("segment"))
         sizes = index._table("lengths", _LENGTHS, [free]).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
