@@ -9,7 +9,8 @@ The text is cut before each single space between two visible characters. Both
 tokenizers begin a token there whatever stands around it (which their files must state:
 byte-level pairs after the known pattern, and pieces in which a space only comes
 first), so each segment is encoded and aligned once in a chunk of documents, many at a
-time; a text's tokens are those of its segments. If a segment isn't given back byte by byte, the whole text
+time; a text's tokens are those of its segments. Segments at a text's ends that begin
+or end otherwise are encoded apart from all others. If a segment isn't given back byte by byte, the whole text
 is encoded and compared. Special tokens' strings are plain text.
 
 Documents are worked on in chunks of a bounded size of text. A document's row keeps which of its chunk's
@@ -44,6 +45,8 @@ from docloom.llm.common import materialize, pieces, scratch, small_or_none, text
 #: A segment begins at a space between two characters that every reading of white space takes as visible.
 _VISIBLE = r"[^\s\u0085\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 _CUT = re.compile(rf"(?<={_VISIBLE})(?= {_VISIBLE})")
+#: Segments of which both ends are such that any two of them, put together, have a cut in between.
+_BOTH = re.compile(rf" {_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL)
 _SPACE = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: A pair's two ids as one number.
@@ -130,12 +133,15 @@ class Aligner:
         """The parts of a text, with a space before it, that are encoded by themselves."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def aligned(self, segments: list[str]) -> Aligned | None:
-        """Align one text that begins with a space, or segments that the cut allows together; None if either tokenizer doesn't give their bytes back."""
-        text = "".join(segments)
-        a, b, data = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
-        if b"".join([self.a_bytes[x] for x in a]) != data or b"".join([self.b_bytes[x] for x in b]) != data:
-            return None
+    def aligned(self, segments: list[str], apart: bool = False) -> Aligned | None:
+        """Align texts that begin with a space, encoded together, which cuts between them must allow, or apart; None if either tokenizer doesn't give their bytes back."""
+        a, b = [], []
+        for text in segments if apart else ["".join(segments)]:
+            x, y, data = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+            if b"".join([self.a_bytes[k] for k in x]) != data or b"".join([self.b_bytes[k] for k in y]) != data:
+                return None
+            a += x
+            b += y
         a_stop, b_stop = groups(np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist())
         ends = np.cumsum(self.a_sizes[a])[a_stop - 1]
         last = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in segments])) + 1  # groups up to each segment's end
@@ -207,14 +213,14 @@ class _Chunk:
         self.shown += found.shown
         return first
 
-    def _learn(self, segments: list[str]) -> None:
-        """Align segments that are new here, many at a time; if one isn't given back, one by one."""
+    def _learn(self, segments: list[str], apart: bool = False) -> None:
+        """Align segments that are new here, many at a time, encoded together or apart; if one isn't given back, one by one."""
         batch, size = [], 0
         for k, x in enumerate(segments, 1):
             batch.append(x)
             size += len(x)
             if size >= BATCH or k == len(segments):
-                if found := self.own.aligned(batch):
+                if found := self.own.aligned(batch, apart):
                     self.places.update(zip(batch, range(first := self._keep(found), first + len(batch)), strict=True))
                 else:
                     for y in batch:
@@ -225,7 +231,11 @@ class _Chunk:
     def add(self, ids: list[int | None], texts: list[str]) -> None:
         """Some documents' segments; none of a document whose bytes aren't given back."""
         split = [self.own.segments(x) if x else [] for x in texts]
-        self._learn([x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.places])
+        new = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.places]
+        # white space at a text's ends would run into the next segment's space; whole texts aren't cut at all
+        apart = {x for own in split if own for x in (own[0], own[-1]) if not (self.own.cuts and _BOTH.fullmatch(x))}
+        self._learn([x for x in new if x not in apart])
+        self._learn([x for x in new if x in apart], apart=True)
         places, shown, whole = self.places, self.shown, []
         for segments, text in zip(split, texts, strict=True):
             at = [places[x] for x in segments]

@@ -208,6 +208,22 @@ def test_alignment_by_brute_force(spark):
     assert alignment.align(df.limit(0), ALIGNMENT)[0].count() == 0
 
 
+def test_texts_that_begin_or_end_in_white_space_are_aligned_as_whole_texts(spark):
+    rng = random.Random(12)
+    texts = ["first ", "second", "third\n", "\n fourth", "  fifth  ", "sixth\u3000", "\u200bseventh ", " ", "  ", "eighth\t", "'s", "ninth \r\n"]
+    parts = ["the", "a", "é", "日本", " ", " ", "  ", "\n", "\t", "\u00a0", "'s", "1", "!", "\u0301", "\x00"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)  # all in one chunk
+    own, want, held = alignment.Aligner(ALIGNMENT), {}, Counter()
+    for k, text in enumerate(texts):
+        found = own.aligned([" " + text])
+        want[k] = (*found.totals[0].tolist(), hashlib.sha256(found.shown[0].encode()).hexdigest())
+        held.update(set(found.pair.tolist()))
+    got, pairs = alignment.align(df, ALIGNMENT)
+    assert {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) for r in got.collect()} == want
+    assert {r.a << alignment.SHIFT | r.b: r.n for r in pairs.collect()} == held
+
+
 # ---------------------------------------------------------------- language model
 
 
