@@ -27,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -42,11 +44,11 @@ from pyspark.sql import functions as F
 from docloom.llm.arrays import find, mapped, read_arrays, small, write_arrays
 from docloom.llm.common import materialize, pieces, scratch, small_or_none, text_strings
 
-#: A segment begins at a space between two characters that every reading of white space takes as visible.
+#: A segment begins with a space between two characters that every reading of white space takes as visible.
 _VISIBLE = r"[^\s\u0085\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
-_CUT = re.compile(rf"(?<={_VISIBLE})(?= {_VISIBLE})")
+_CUT = re.compile(rf" (?<={_VISIBLE} )(?={_VISIBLE})")  # a space that comes first is found fast
 #: Segments of which both ends are such that any two of them, put together, have a cut in between.
-_BOTH = re.compile(rf" {_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL)
+_BOTH = re.compile(rf"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL)
 _SPACE = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: A pair's two ids as one number.
@@ -68,21 +70,19 @@ def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
     """The places, in short and in long, of the numbers that two ascending lists share; each number of short is searched from where the last one was found."""
     low, size, ours, theirs = 0, len(long), [], []
     for i, x in enumerate(short):
-        step = 1
-        while low + step <= size and long[low + step - 1] < x:
-            step *= 2
-        low, high = low + step // 2, min(low + step, size)
-        while low < high:
-            middle = (low + high) // 2
-            if long[middle] < x:
-                low = middle + 1
-            else:
-                high = middle
         if low == size:
             break
+        if long[low] < x:
+            step = 1
+            while low + step < size and long[low + step] < x:
+                step *= 2
+            low = bisect_left(long, x, low + step // 2 + 1, min(low + step, size))
+            if low == size:
+                break
         if long[low] == x:
             ours.append(i)
             theirs.append(low)
+            low += 1
     return ours, theirs
 
 
@@ -113,6 +113,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a batch of one text needs no threads
         self.a, self.b = Tokenizer.from_file(p.bytes_file), sentencepiece.SentencePieceProcessor(model_file=p.pieces_file)
         self.a.encode_special_tokens = True
         config, vocab = json.loads(self.a.to_str()), self.a.get_vocab()
@@ -123,28 +124,30 @@ class Aligner:
             self.a_bytes[i] = bytes([letters[c] for c in t]) if all(c in letters for c in t) else t.encode()
         named = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(t)) else t.replace(_SPACE, " ").encode() for i, t in enumerate(named)]
-        self.a_names, self.b_names = [str(k) for k in range(len(self.a_bytes))], [str(k) for k in range(len(self.b_bytes))]
+        # ids as a group shows them: A's before others and last, B's before others, last, and last of a segment
+        self.names = np.array([f"{k}{mark}" for x, marks in ((self.a_bytes, ",|"), (self.b_bytes, [",", ";", ""])) for mark in marks for k in range(len(x))], dtype=object)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         split = config["pre_tokenizer"] or {}
         known = config["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and config["model"]["type"] == "BPE"
         self.cuts = bool(known and not any(_SPACE in t.lstrip(_SPACE) for t in named))
 
     def segments(self, text: str) -> list[str]:
-        """The parts of a text, with a space before it, that are encoded by themselves."""
-        return _CUT.split(" " + text) if self.cuts else [" " + text]
+        """The parts of a text that are encoded by themselves, each with a space before it, which is left out here."""
+        return _CUT.split(text) if self.cuts else [text]
 
     def aligned(self, segments: list[str], apart: bool = False) -> Aligned | None:
         """Align texts that begin with a space, encoded together, which cuts between them must allow, or apart; None if either tokenizer doesn't give their bytes back."""
         a, b = [], []
         for text in segments if apart else ["".join(segments)]:
-            x, y, data = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+            x, y, data = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]), text.encode()
             if b"".join([self.a_bytes[k] for k in x]) != data or b"".join([self.b_bytes[k] for k in y]) != data:
                 return None
             a += x
             b += y
-        a_stop, b_stop = groups(np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist())
-        ends = np.cumsum(self.a_sizes[a])[a_stop - 1]
-        last = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in segments])) + 1  # groups up to each segment's end
+        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        a_stop, b_stop = groups(a_ends.tolist(), b_ends.tolist())
+        last = np.searchsorted(a_ends[a_stop - 1], np.cumsum([len(x.encode()) for x in segments])) + 1  # groups up to each segment's end
         n_groups = np.diff(last, prepend=0)
         own = np.repeat(np.arange(len(segments)), n_groups)
         n_a, n_b = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
@@ -152,7 +155,6 @@ class Aligner:
         totals = np.stack([np.diff(np.concatenate([[0], np.cumsum(x)])[last], prepend=0) for x in (n_a, n_b, np.ones_like(n_a), links)], axis=1)
 
         # each group's pairs, but for long groups, whose equal tokens are counted first
-        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         size = np.where(links > LONG, 0, links)
         group = np.repeat(np.arange(len(size)), size)
         k = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
@@ -166,13 +168,16 @@ class Aligner:
             where.append(np.full(len(x) * len(y), own[g]))
         segment, pair, times = np.concatenate(where), np.concatenate(pairs), np.concatenate(times)
 
-        ours, theirs = [self.a_names[x] for x in a], [self.b_names[x] for x in b]
-        shown, x0, y0 = [], 0, 0
-        for x1, y1 in zip(a_stop.tolist(), b_stop.tolist(), strict=True):
-            shown.append(f"{ours[x0]}|{theirs[y0]}" if x1 - x0 == 1 == y1 - y0 else ",".join(ours[x0:x1]) + "|" + ",".join(theirs[y0:y1]))
-            x0, y0 = x1, y1
-        cuts = [0, *last.tolist()]
-        return Aligned(totals, [";".join(shown[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], segment, pair, times)
+        # all groups' names in order, A's before B's
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        a_ids[a_stop - 1] += n
+        b_ids[b_stop - 1] += m
+        b_ids[b_stop[last - 1] - 1] += m
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.repeat(b_stop - n_b, n_a)] = a_ids
+        order[np.arange(len(b)) + np.repeat(a_stop, n_b)] = b_ids + 2 * n
+        names, cuts = self.names[order].tolist(), [0, *(a_stop + b_stop)[last - 1].tolist()]
+        return Aligned(totals, ["".join(names[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], segment, pair, times)
 
 
 _ALIGNERS: dict[Alignment, Aligner] = {}
@@ -220,11 +225,11 @@ class _Chunk:
             batch.append(x)
             size += len(x)
             if size >= BATCH or k == len(segments):
-                if found := self.own.aligned(batch, apart):
+                if found := self.own.aligned([" " + y for y in batch], apart):
                     self.places.update(zip(batch, range(first := self._keep(found), first + len(batch)), strict=True))
                 else:
                     for y in batch:
-                        one = self.own.aligned([y])
+                        one = self.own.aligned([" " + y])
                         self.places[y] = self._keep(one) if one else -1
                 batch, size = [], 0
 
@@ -238,7 +243,7 @@ class _Chunk:
         self._learn([x for x in new if x in apart], apart=True)
         places, shown, whole = self.places, self.shown, []
         for segments, text in zip(split, texts, strict=True):
-            at = [places[x] for x in segments]
+            at = list(map(places.__getitem__, segments))
             if -1 in at:  # the parts aren't given back: the whole text might be
                 found = self.own.aligned([" " + text])
                 at = [self._keep(found)] if found else []
@@ -250,7 +255,7 @@ class _Chunk:
         self.held = np.concatenate([self.held, np.zeros(len(self.pairs) - len(self.held), dtype=np.int64)])
         for doc_id, text, at in zip(ids, texts, whole, strict=True):
             where, times = np.unique(np.array(at, dtype=np.int64), return_counts=True)
-            digest = hashlib.sha256(";".join([shown[k] for k in at]).encode()).hexdigest() if len(at) else ""
+            digest = hashlib.sha256(";".join(map(shown.__getitem__, at)).encode()).hexdigest() if len(at) else ""
             self.docs.append((doc_id, *(times @ totals[where] if len(where) else np.zeros(4, dtype=np.int64)).tolist(), digest))
             self.doc_segs.append(where.astype(np.int32))
             self.doc_times.append(times.astype(np.int32))

@@ -166,6 +166,21 @@ def test_gallop_finds_what_lists_share():
     assert alignment.gallop([999_999], list(range(1_000_000))) == ([0], [999_999])
 
 
+def test_gallop_reads_lists_that_are_much_alike_about_once():
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, k):
+            self.reads += 1
+            return super().__getitem__(k)
+
+    long = Counted(range(1000))
+    for short in (range(1000), range(0, 1000, 2)):
+        long.reads = 0
+        assert alignment.gallop(list(short), long) == (list(range(len(short))), list(short))
+        assert long.reads <= 3 * len(short)
+
+
 ODD_TEXTS = [
     "plain words here", "", None, "two  spaces", " lead and trail ", "\n new\n lines \t tabs", "l'été it's they're", "日本語 の テキスト", "▁ mark", "nul \x00 byte", "<|endoftext|> <s> </s>", "\U0001f468‍\U0001f469‍\U0001f467 ​ x",
     "x　y   z", "ﬁ ligature", "é ́ combining", "a" * 5000, "1234567890 " * 50, "\x1c fs \x85 nel", "café " * 30, " ", "  ", "<0x41> piece", "plain words here",
