@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import front_matter
+from docloom.functions.text import front_matter, once
 
 _KEY = r"""[^\s#:\-"'\[{][^:\n]*|"[^"\n]*"|'[^'\n]*'"""
 _ENTRY = rf"(?m)^({_KEY}):(?=[ \t\n]|\z)([^\n]*(?:\n(?:[ \t]+[^\n]*|-[ ][^\n]*|-(?=\n|\z)|(?=\n[ \t]))?)*)"
@@ -24,15 +24,18 @@ _BLANK = " \t\r\n"
 
 def raw_values(text: Column) -> Column:
     """The front matter as a map from keys to their values as they are written."""
-    own = F.coalesce(front_matter(text), F.lit(""))
-    keys = F.transform(F.regexp_extract_all(own, F.lit(_ENTRY), F.lit(1)), lambda k: F.regexp_replace(F.trim(k), r"""^(["'])(.*)\1$""", "$2"))
-    values = F.transform(F.regexp_extract_all(own, F.lit(_ENTRY), F.lit(2)), lambda v: F.when(F.trim(v, F.lit(_BLANK)).rlike(r"^[|>]"), v).otherwise(F.rtrim(v, F.lit(_BLANK))))
-    return last_of(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: F.struct(e["k"].alias("key"), F.ltrim(e["v"], F.lit(" \t")).alias("value"))))
+
+    def entries(own: Column) -> Column:
+        keys = F.transform(F.regexp_extract_all(own, F.lit(_ENTRY), F.lit(1)), lambda k: F.regexp_replace(F.trim(k), r"""^(["'])(.*)\1$""", "$2"))
+        values = F.transform(F.regexp_extract_all(own, F.lit(_ENTRY), F.lit(2)), lambda v: F.when(F.trim(v, F.lit(_BLANK)).rlike(r"^[|>]"), v).otherwise(F.rtrim(v, F.lit(_BLANK))))
+        return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: F.struct(e["k"].alias("key"), F.ltrim(e["v"], F.lit(" \t")).alias("value")))
+
+    return last_of(once(F.coalesce(front_matter(text), F.lit("")), entries))
 
 
 def last_of(entries: Column) -> Column:
     """A map of entries (key, value) in which the last of equal keys counts."""
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])))
+    return F.map_from_entries(once(entries, lambda own: F.filter(own, lambda e, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda later: later["key"] == e["key"]))))
 
 
 def _unquoted(x: Column) -> Column:

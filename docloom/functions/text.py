@@ -6,6 +6,8 @@ where it is empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ from docloom.settings import Settings
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once, however often the function names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the UTF-8 bytes, rounded up, at least 1."""
     return F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4)).cast("long")
@@ -33,8 +40,8 @@ def chunks_needed(tokens: Column, s: Settings) -> Column:
 
 def front_matter(text: Column) -> Column:
     """The lines between the leading marks; null without them."""
-    found = F.regexp_extract(text, r"(?s)^---(.*?)\n---", 1)
-    return F.when(text.rlike(r"(?s)^---.*?\n---"), found)
+    end = F.locate("\n---", text, 4)
+    return F.when(text.startswith("---") & (end > 0), F.substring(text, F.lit(4), end - 4))
 
 
 def field(text: Column, name: str) -> Column:
@@ -45,7 +52,9 @@ def field(text: Column, name: str) -> Column:
 
 def body(text: Column) -> Column:
     """The text after the front matter, trimmed; the text itself without front matter."""
-    return F.when(front_matter(text).isNull(), text).otherwise(F.trim(F.regexp_replace(text, r"(?s)^---.*?\n---\s*", ""), F.lit(" \n\t\r")))
+    end = F.locate("\n---", text, 4)
+    rest = F.rtrim(F.ltrim(F.substr(text, end + 4), F.lit(" \n\t\r\v\f")), F.lit(" \n\t\r"))
+    return F.when(text.startswith("---") & (end > 0), rest).otherwise(text)
 
 
 def first_h1(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.frontmatter import items, quoted, raw_values
-from docloom.functions.text import body
+from docloom.functions.text import body, once
 from docloom.operators.links import links
 
 #: The section of related concepts, and the words for relations.
@@ -26,8 +26,12 @@ def meta(text: Column) -> Column:
 
 def dumped(values: Column, content: Column) -> Column:
     """A page of a map of front matter, its keys sorted, and a body."""
-    line = lambda k: F.concat(k, F.lit(":"), F.when(values[k].startswith("\n"), values[k]).when(values[k] == "", "").otherwise(F.concat(F.lit(" "), values[k])))
-    return F.concat(F.lit("---\n"), F.array_join(F.transform(F.array_sort(F.map_keys(values)), line), "\n"), F.lit("\n---\n\n"), content)
+
+    def lines(own: Column) -> Column:
+        line = lambda k: F.concat(k, F.lit(":"), F.when(own[k].startswith("\n"), own[k]).when(own[k] == "", "").otherwise(F.concat(F.lit(" "), own[k])))
+        return F.array_join(F.transform(F.array_sort(F.map_keys(own)), line), "\n")
+
+    return F.concat(F.lit("---\n"), once(values, lines), F.lit("\n---\n\n"), content)
 
 
 def with_values(values: Column, new: dict[str, Column]) -> Column:
@@ -44,9 +48,12 @@ def block(values: Column) -> Column:
 
 def with_source(text: Column, source: Column, date: str) -> Column:
     """The page with one more source file, once, and a new date."""
-    own = meta(text)
-    files = F.array_union(items(F.coalesce(own["source_files"], F.lit(""))), F.array(source))
-    return dumped(with_values(own, {"source_files": block(files), "last_updated": F.lit(date)}), body(text))
+
+    def values(own: Column) -> Column:
+        files = F.array_union(items(F.coalesce(own["source_files"], F.lit(""))), F.array(source))
+        return with_values(own, {"source_files": block(files), "last_updated": F.lit(date)})
+
+    return dumped(once(meta(text), values), body(text))
 
 
 def with_notice(text: Column, source: Column, report: Column) -> Column:
