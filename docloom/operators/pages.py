@@ -64,11 +64,14 @@ def with_notice(text: Column, source: Column, report: Column) -> Column:
 
 def with_section(text: Column, heading: str, section: Column) -> Column:
     """A text in which a second-level section is replaced, or added at the end."""
-    pattern = rf"(?s)(?:^|(?<=\n))##[ ]*{heading}[ ]*\n.*?(?=\n##|\z)"
-    there = text.rlike(rf"(?:^|\n)##[ ]*{heading}[ ]*\n")
-    head = F.regexp_extract(text, rf"(?s)^(.*?)(?:^|(?<=\n))##[ ]*{heading}[ ]*\n", 1)
-    tail = F.regexp_extract(text, rf"(?s)^.*?{pattern}(.*)$", 1)
-    return F.when(there, F.concat(head, section, F.lit("\n\n"), tail)).otherwise(F.concat(F.rtrim(text, F.lit(_BLANK)), F.lit("\n\n"), section, F.lit("\n")))
+
+    def made(parts: Column) -> Column:
+        rest = F.get(parts, F.lit(1))
+        at = F.locate("\n##", rest)
+        tail = F.when(at > 0, F.substr(rest, at)).otherwise("")
+        return F.when(F.size(parts) > 1, F.concat(parts[0], section, F.lit("\n\n"), tail)).otherwise(F.concat(F.rtrim(parts[0], F.lit(_BLANK)), F.lit("\n\n"), section, F.lit("\n")))
+
+    return once(F.split(text, rf"##(?<![^\n]##)[ ]*{heading}[ ]*\n", 2), made)  # the marks first: looking behind each character takes long
 
 
 def with_entries(text: Column, entries: Column) -> Column:
